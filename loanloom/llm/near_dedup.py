@@ -10,6 +10,9 @@ How it scales: equal sets are one class from the start, so copies never meet eac
 never expanded into all pairs: each round compares all its members with a few pivots, joins what is
 linked into components and retires the pivots, until the members left in each bucket are in one component.
 Every pair of a bucket that isn't linked by way of others has then been compared, so no link is lost.
+Pivots are the members with the fewest shingles of their own. Pairs whose sizes and shared shingles bound
+their similarity below the threshold are left out, which costs no link: a document that is far from all
+others has many shingles that no other candidate has.
 The skewed joins have plain shuffles on both sides, which adaptive execution splits.
 
 Defined results: null or blank text is an empty set, linked with nothing. A null doc_id takes no part
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -131,6 +134,20 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """id, n (size of the set) and c (its shingles that another candidate has too)."""
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    return sets.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+
+
+def possible(c: Column, sizes: Column, percent: int) -> Column:
+    """Whether two sets of so many shingles together could be linked when at most c are in both: their
+    similarity is then at most c / (sizes - c)."""
+    return c * (100 + percent) >= sizes * percent
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (smallest id that can be reached) of all ids in edges (a, b): alternating large-star
     and small-star rounds, each pointing a node's neighbours at its smallest one."""
@@ -159,33 +176,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = used.join(classes, ["hi", "lo"]).where("doc_id = rep").select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
     reps = written(reps, "bands")
     shared = written(reps.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "buckets")
+    members = written(reps.join(shared, "band").select("band", "id"), "members")
+    sets = written(shingle_sets(docs, members.select("id").distinct(), words), "sets")
+    figures = written(shared_shingles(sets), "figures")
     # component starts as the id; members of open buckets are compared round by round
-    active = written(reps.join(shared, "band").select("band", "id", F.col("id").alias("component")), "members")
-    sets = written(shingle_sets(docs, active.select("id").distinct(), words), "sets")
+    active = written(members.join(figures, "id").select("band", "id", F.col("id").alias("component"), "n", "c"), "active")
     tested = links = labels = None
     pivots_per_bucket = 1
     while True:
-        open_buckets = active.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-        open_buckets = written(open_buckets, "open")
-        if open_buckets.isEmpty():
+        buckets = active.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("smallest")).where("x < y").select("band", "smallest")
+        buckets = written(buckets, "open")
+        if buckets.isEmpty():
             break
-        active = active.join(open_buckets, "band")
+        active = active.join(buckets, "band")
+        # with too few shared shingles for even the smallest of its bucket, a member has no link there
+        active = active.where(possible(F.col("c"), F.col("n") + F.col("smallest"), percent)).drop("smallest")
+        central = F.struct((F.col("n") - F.col("c")).alias("alone"), "id")
         if pivots_per_bucket == 1:
-            pivots = active.groupBy("band").agg(F.min(F.struct("id", "component")).alias("p")).select("band", "p.*")
+            pivots = active.groupBy("band").agg(F.min_by(F.struct("id", "component", "n", "c"), central).alias("p")).select("band", "p.*")
         else:
-            rank = F.row_number().over(W.partitionBy("band").orderBy("id"))
-            pivots = active.withColumn("rank", rank).where(F.col("rank") <= pivots_per_bucket).drop("rank")
+            rank = F.row_number().over(W.partitionBy("band").orderBy(F.col("n") - F.col("c"), "id"))
+            pivots = active.withColumn("rank", rank).where(F.col("rank") <= pivots_per_bucket).select("band", "id", "component", "n", "c")
         pivots = written(pivots, "pivots")
-        pairs = active.join(pivots.select("band", F.col("id").alias("pivot"), F.col("component").alias("of")), "band").where("component <> of")
+        other = pivots.select("band", F.col("id").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
+        both = F.col("n") + F.col("pivot_n")
+        near = possible(F.least("c", "pivot_c"), both, percent) & (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
+        pairs = active.alias("m").join(other.alias("p"), (F.col("m.band") == F.col("p.band")) & (F.col("component") != F.col("of")) & near)
         pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = written(linked(pairs, sets, percent), "links")
         links = more if links is None else links.unionByName(more)
         labels = components(links)
-        active = active.join(pivots.select("band", "id"), ["band", "id"], "left_anti")
-        active = active.drop("component").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        active = written(active, "members")
+        active = active.join(pivots.select("band", "id"), ["band", "id"], "left_anti").drop("component")
+        active = active.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "n", "c")
+        active = written(active, "active")
         pivots_per_bucket *= 4
     result = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"], "left")
     if labels is not None:
