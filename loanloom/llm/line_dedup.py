@@ -36,8 +36,8 @@ MIN_CHARS = 10
 HOT_SHARE = 100_000
 #: Keys in a batch's hot list have at least so many documents.
 HOT_LEAST = 64
-#: Documents per shard; at some tens of lines each, a shard has about a million keys or fewer.
-DOCS_PER_SHARD = 16_384
+#: Documents per shard; at some tens of lines each, a shard has tens of thousands of keys.
+DOCS_PER_SHARD = 1024
 #: Dropped lines up to this many bytes of digests are broadcast to the documents; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 

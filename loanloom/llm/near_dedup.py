@@ -12,7 +12,8 @@ linked into components and retires the pivots, until the members left in each bu
 Every pair of a bucket that isn't linked by way of others has then been compared, so no link is lost.
 Pivots are the members with the fewest shingles of their own. Pairs whose sizes and shared shingles bound
 their similarity below the threshold are left out, which costs no link: a document that is far from all
-others has many shingles that no other candidate has.
+others has many shingles that no other candidate has. What is still compared after two rounds is tested
+once more by its rare shingles, after which only frequent ones count for the bound.
 The skewed joins have plain shuffles on both sides, which adaptive execution splits.
 
 Defined results: null or blank text is an empty set, linked with nothing. A null doc_id takes no part
@@ -37,6 +38,10 @@ from loanloom.llm.cluster import only, ship, written
 
 ROWS = 4
 MISS = 1e-7
+#: A shingle of at most so many of the sets still compared is rare; its pairs are tested one by one.
+RARE = 8
+#: In the round with so many pivots (buckets of fewer members are done) pairs of rare shingles are tested.
+RARE_ROUND = 16
 #: Sets of ids up to this size are broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -142,6 +147,19 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     return sets.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
 
 
+def rare_partners(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sets that are still compared: all pairs (a, b) that share a shingle of at most RARE of them, and
+    id with c, the shingles of more than RARE. Once the pairs are tested, no other pair shares more than c."""
+    each = written(sets.select("id", F.explode("shingles").alias("shingle")).distinct(), "shingles")
+    rare = written(each.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "rare")
+    held = each.join(rare, "shingle")
+    groups = held.where("n > 1").groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.lit(RARE)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = groups.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.*").distinct()
+    left = sets.select("id", F.size("shingles").cast("long").alias("n")).join(held.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
+    return pairs, left.select("id", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("c"))
+
+
 def possible(c: Column, sizes: Column, percent: int) -> Column:
     """Whether two sets of so many shingles together could be linked when at most c are in both: their
     similarity is then at most c / (sizes - c)."""
@@ -189,6 +207,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if buckets.isEmpty():
             break
         active = active.join(buckets, "band")
+        if pivots_per_bucket == RARE_ROUND:
+            active = written(active, "active")
+            pairs, common = rare_partners(sets.join(active.select("id").distinct(), "id", "left_semi"))
+            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.unionByName(pairs)
+            links = links.unionByName(written(linked(pairs, sets, percent), "links"))
+            labels = components(links)
+            active = active.drop("c", "component").join(written(common, "figures"), "id").join(labels, "id", "left")
+            active = active.withColumn("component", F.coalesce("component", "id"))
         # with too few shared shingles for even the smallest of its bucket, a member has no link there
         active = active.where(possible(F.col("c"), F.col("n") + F.col("smallest"), percent)).drop("smallest")
         central = F.struct((F.col("n") - F.col("c")).alias("alone"), "id")
