@@ -20,10 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loanloom.llm.cluster import only, ship
+from loanloom.llm.textbatch import pieces
 
 SHORT = 256
 #: Pre-tokens that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NEVER = 1 << 30
 #: The pre-token pattern of the vocabulary, with Unicode white space written out.
 SPACES = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -150,7 +151,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = pc.fill_null(batch.column(1), "").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bpe.encode, texts), pa.binary())], ["doc_id", "ids"])
 
@@ -165,7 +166,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = pc.fill_null(batch.column(1), b"").to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "text"])
 

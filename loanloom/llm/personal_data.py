@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.llm.cluster import only, ship
+from loanloom.llm.textbatch import pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: documents with a candidate token, and code points of one of them.
@@ -284,7 +285,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             counts: list[list[int]] = [[], [], [], []]
             base_text, all_text = [], []
             for text in pc.fill_null(batch.column(1), "").to_pylist():

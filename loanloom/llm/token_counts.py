@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 
 from loanloom.llm.byte_bpe import PATTERN
 from loanloom.llm.cluster import only, ship
+from loanloom.llm.textbatch import pieces
 
-NODES = 600_000
-REMEMBERED = 400_000
+NODES = 400_000
+REMEMBERED = 250_000
 LONGEST = 256
 #: Shift of the Zipf law over ranks.
 SHIFT = 2.7
@@ -121,7 +122,7 @@ def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = UnigramTrie.load(path)
-        for batch in batches:
+        for batch in pieces(batches):
             n_words, n_tokens = [], []
             for text in pc.fill_null(batch.column(1), "").to_pylist():
                 words = trie.words(text)
