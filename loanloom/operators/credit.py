@@ -12,7 +12,7 @@ from loanloom.functions.columns import clamp, lookup, present, rounded
 def employment_bucket(text: Column) -> Column:
     """salaried, business or self_employed (also for anything unknown)."""
     key = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "[- ]", "_")
-    return F.when(key.isin("salaried", "salary", "employee", "employed"), "salaried").when(key.isin("business", "business_owner", "businessman"), "business").otherwise("self_employed")
+    return F.when(key.isin("salaried", "salary", "employee", "employed"), "salaried").when(key.isin("business", "businessman", "businesswoman", "proprietor", "partnership"), "business").otherwise("self_employed")
 
 
 def credit_band(score: Column) -> Column:
