@@ -24,7 +24,12 @@ def cases(spark, sf_dir):
 
 _CASES = """SELECT *, actual = predicted AS ok FROM (SELECT application_id, CASE WHEN cibil_score IS NULL THEN 'SUSPEND' WHEN cibil_score >= 680 AND ltv_pct <= 90 THEN 'APPROVE' WHEN cibil_score < 580 THEN 'DENY' ELSE 'SUSPEND' END AS actual,
  CASE preliminary_decision WHEN 'APPROVE' THEN 'APPROVE' WHEN 'REJECT' THEN 'DENY' ELSE 'SUSPEND' END AS predicted, credit_confidence AS confidence FROM credit)"""
-_BASELINE = F.col("created_at") < F.lit("2000-01-01").cast("timestamp")
+
+
+def baseline():
+    return F.col("created_at") < F.lit("2000-01-01").cast("timestamp")
+
+
 
 QUERIES = {
     "a01_source_mix": lambda s, d: m.source_mix(view(s, d, "applications")),
@@ -35,7 +40,7 @@ QUERIES = {
     "a07_adverse_impact": lambda s, d: m.adverse_impact(assessed(s, d), "audit_group", ("APPROVE", "CONDITIONAL")),
     "a09_runtime_metrics": lambda s, d: m.runtime_metrics(view(s, d, "audit_log")),
     "a09_gate_counts": lambda s, d: m.gate_counts(view(s, d, "audit_log")),
-    "a22_psi": lambda s, d: m.stability_index(assessed(s, d), "risk_score", _BASELINE, EDGES),
+    "a22_psi": lambda s, d: m.stability_index(assessed(s, d), "risk_score", baseline(), EDGES),
     "a23_discrimination": lambda s, d: m.discrimination(assessed(s, d), "risk_score", "outcome_bad"),
     "a27_bad_rate_by_band": lambda s, d: m.bad_rate_by_band(assessed(s, d), BANDS),
     "a28_calibration": lambda s, d: m.calibration(assessed(s, d)),
