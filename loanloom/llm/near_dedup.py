@@ -212,8 +212,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs, common = rare_partners(sets.join(active.select("id").distinct(), "id", "left_semi"))
             pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = tested.unionByName(pairs)
-            links = links.unionByName(written(linked(pairs, sets, percent), "links"))
-            labels = components(links)
+            more = written(linked(pairs, sets, percent), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links)
             active = active.drop("c", "component").join(written(common, "figures"), "id").join(labels, "id", "left")
             active = active.withColumn("component", F.coalesce("component", "id"))
         # with too few shared shingles for even the smallest of its bucket, a member has no link there
@@ -233,8 +235,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = written(linked(pairs, sets, percent), "links")
-        links = more if links is None else links.unionByName(more)
-        labels = components(links)
+        if labels is None or not more.isEmpty():  # without new links the components stay as they are
+            links = more if links is None else links.unionByName(more)
+            labels = components(links)
         active = active.join(pivots.select("band", "id"), ["band", "id"], "left_anti").drop("component")
         active = active.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "n", "c")
         active = written(active, "active")
