@@ -198,7 +198,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = written(shingle_sets(docs, members.select("id").distinct(), words), "sets")
     figures = written(shared_shingles(sets), "figures")
     # component starts as the id; members of open buckets are compared round by round
-    active = written(members.join(figures, "id").select("band", "id", F.col("id").alias("component"), "n", "c"), "active")
+    # each member knows all its buckets, so that a pair is made in the first one alone
+    homes = members.groupBy("id").agg(F.collect_list("band").alias("bands"))
+    active = members.join(figures.join(homes, "id"), "id").select("band", "id", F.col("id").alias("component"), "n", "c", "bands")
+    active = written(active, "active")
     tested = links = labels = None
     pivots_per_bucket = 1
     while True:
@@ -227,10 +230,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             rank = F.row_number().over(W.partitionBy("band").orderBy(F.col("n") - F.col("c"), "id"))
             pivots = active.withColumn("rank", rank).where(F.col("rank") <= pivots_per_bucket).select("band", "id", "component", "n", "c")
         pivots = written(pivots, "pivots")
-        other = pivots.select("band", F.col("id").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
+        other = pivots.join(pivots.groupBy("id").agg(F.collect_list("band").alias("pivot_of")), "id")
+        other = other.select("band", F.col("id").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"), "pivot_of")
         both = F.col("n") + F.col("pivot_n")
         near = possible(F.least("c", "pivot_c"), both, percent) & (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
-        pairs = active.alias("m").join(other.alias("p"), (F.col("m.band") == F.col("p.band")) & (F.col("component") != F.col("of")) & near)
+        # a member that has left the first bucket it shares with a pivot was compared or ruled out there
+        first = F.array_min(F.array_intersect("bands", "pivot_of")) == F.col("m.band")
+        pairs = active.alias("m").join(other.alias("p"), (F.col("m.band") == F.col("p.band")) & (F.col("component") != F.col("of")) & near & first)
         pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -239,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             links = more if links is None else links.unionByName(more)
             labels = components(links)
         active = active.join(pivots.select("band", "id"), ["band", "id"], "left_anti").drop("component")
-        active = active.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "n", "c")
+        active = active.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "n", "c", "bands")
         active = written(active, "active")
         pivots_per_bucket *= 4
     result = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"], "left")
