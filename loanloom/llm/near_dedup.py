@@ -12,7 +12,7 @@ linked into components and retires the pivots, until the members left in each bu
 Every pair of a bucket that isn't linked by way of others has then been compared, so no link is lost.
 Pivots are the members with the fewest shingles of their own. Pairs whose sizes and shared shingles bound
 their similarity below the threshold are left out, which costs no link: a document that is far from all
-others has many shingles that no other candidate has. What is still compared after two rounds is tested
+others has many shingles that no other candidate has. What is still compared after the first round is tested
 once more by its rare shingles, after which only frequent ones count for the bound.
 The skewed joins have plain shuffles on both sides, which adaptive execution splits.
 
@@ -40,6 +40,8 @@ ROWS = 4
 MISS = 1e-7
 #: A shingle of at most so many of the sets still compared is rare; its pairs are tested one by one.
 RARE = 8
+#: Each round takes so many times the pivots of the one before; every round carries all open buckets along.
+STEP = 16
 #: In the round with so many pivots (buckets of fewer members are done) pairs of rare shingles are tested.
 RARE_ROUND = 16
 #: Sets of ids up to this size are broadcast; beyond it the join is shuffled.
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         active = active.join(pivots.select("band", "id"), ["band", "id"], "left_anti").drop("component")
         active = active.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "n", "c", "bands")
         active = written(active, "active")
-        pivots_per_bucket *= 4
+        pivots_per_bucket *= STEP
     result = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"], "left")
     if labels is not None:
         result = result.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
