@@ -168,16 +168,17 @@ def possible(c: Column, sizes: Column, percent: int) -> Column:
     return c * (100 + percent) >= sizes * percent
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether every b of the distinct edges (a, b) has one a, which is no b itself."""
+    ends = edges.select(F.col("b").alias("id"), F.lit(1).alias("below")).unionByName(edges.select(F.col("a").alias("id"), F.lit(0).alias("below")))
+    return ends.groupBy("id").agg(F.sum("below").alias("below"), F.count("*").alias("n")).where("below > 0 and n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (smallest id that can be reached) of all ids in edges (a, b): alternating large-star
-    and small-star rounds, each pointing a node's neighbours at its smallest one."""
+    and small-star rounds, each pointing a node's neighbours at its smallest one, until all are stars."""
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == before or not now["n"]:
-            return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
-        before = now
+    while not stars(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -186,6 +187,14 @@ def components(edges: DataFrame) -> DataFrame:
         # each smaller neighbour, and the node itself, is pointed at the smallest
         moved = large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = written(moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+    return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
+
+
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of labels (stars already) once links are added."""
+    if labels is None:
+        return components(links)
+    return components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -204,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     homes = members.groupBy("id").agg(F.collect_list("band").alias("bands"))
     active = members.join(figures.join(homes, "id"), "id").select("band", "id", F.col("id").alias("component"), "n", "c", "bands")
     active = written(active, "active")
-    tested = links = labels = None
+    tested = labels = None
     pivots_per_bucket = 1
     while True:
         buckets = active.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("smallest")).where("x < y").select("band", "smallest")
@@ -219,8 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             tested = tested.unionByName(pairs)
             more = written(linked(pairs, sets, percent), "links")
             if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
+                labels = joined_components(labels, more)
             active = active.drop("c", "component").join(written(common, "figures"), "id").join(labels, "id", "left")
             active = active.withColumn("component", F.coalesce("component", "id"))
         # with too few shared shingles for even the smallest of its bucket, a member has no link there
@@ -244,8 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = written(linked(pairs, sets, percent), "links")
         if labels is None or not more.isEmpty():  # without new links the components stay as they are
-            links = more if links is None else links.unionByName(more)
-            labels = components(links)
+            labels = joined_components(labels, more)
         active = active.join(pivots.select("band", "id"), ["band", "id"], "left_anti").drop("component")
         active = active.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "n", "c", "bands")
         active = written(active, "active")
