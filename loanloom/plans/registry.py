@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that hold QUERIES (name -> callable) and ORACLE (name -> SQL).
-FAMILIES: list[str] = ["credit", "monitoring", "decisions", "listings", "intake"]
+FAMILIES: list[str] = ["credit", "monitoring", "decisions", "listings", "intake", "texts"]
 
 
 def queries() -> dict:

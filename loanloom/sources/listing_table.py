@@ -17,6 +17,17 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: str = "source_url", ord
     return fresh.unionByName(batch.where(F.col(key).isNull()))
 
 
+def new_by_key(batch: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("city", "locality", "bedrooms", "area_sqft"), order: str = "listing_id") -> DataFrame:
+    """Rows of batch to append: the first of each combination of keys that existing lacks. Nulls are equal
+    to each other here. Map-side aggregation keeps a frequent combination from filling one task."""
+    first = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+    held = existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return first.join(held, same, "left_anti")
+
+
 def append(batch: DataFrame, path: str) -> None:
     """Appends the new rows of batch to the Parquet table at path, made on first use."""
     spark = batch.sparkSession
