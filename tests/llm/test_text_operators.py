@@ -197,3 +197,17 @@ def test_pipeline(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids"] and 0 < out.count() <= 200
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in out.collect())
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_components_of_chains(spark):
+    from loanloom.llm import near_dedup
+
+    def found(labels):
+        return sorted((r["id"], r["component"]) for r in labels.collect())
+
+    chain = spark.createDataFrame([(5, 4), (3, 4), (2, 3), (2, 1), (8, 9), (9, 8)], "a long, b long")
+    labels = near_dedup.joined_components(None, chain)
+    assert found(labels) == [(2, 1), (3, 1), (4, 1), (5, 1), (9, 8)]
+    more = spark.createDataFrame([(9, 5), (11, 10)], "a long, b long")
+    assert found(near_dedup.joined_components(labels, more)) == [(2, 1), (3, 1), (4, 1), (5, 1), (8, 1), (9, 1), (11, 10)]
+    assert found(near_dedup.components(chain.limit(0))) == []
