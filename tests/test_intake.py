@@ -30,3 +30,13 @@ def test_windows_of_a_stream(spark, tmp_path):
     got = sorted(tuple(r)[1:] for r in spark.table("windows").collect())
     assert got == [(1, 0, 1, 0, 0), (2, 1, 0, 1, 1)]  # the last window is still open
     assert decisions.windowed(log).count() == 3
+
+
+def test_new_by_key(spark):
+    schema = "listing_id long, city string, locality string, bedrooms int, area_sqft double"
+    held = spark.createDataFrame([(1, "x", None, 2, 800.0), (2, "y", "l", 1, 500.0)], schema)
+    batch = spark.createDataFrame([(3, "x", None, 2, 800.0), (5, "y", "l", 2, 500.0), (4, "y", "l", 2, 500.0), (6, None, None, None, None), (7, None, None, None, None)], schema)
+    found = listing_table.new_by_key(batch, held)
+    assert found.columns == batch.columns
+    assert sorted(r["listing_id"] for r in found.collect()) == [4, 6]
+    assert listing_table.new_by_key(batch.limit(0), held).count() == 0
