@@ -60,10 +60,13 @@ def contradictions(joined: DataFrame) -> DataFrame:
 
 
 def joined_cases(assessed: DataFrame, cases: DataFrame) -> DataFrame:
+    """All applications of either side; missing where one lacks its id, its credit assessment or its case inputs."""
     checks = compliance(cases).select("application_id", F.size("critical").alias("n_critical"), F.size("medium").alias("n_medium"), "compliance_confidence")
-    own = cases.select("application_id", "doc_monthly_income", F.col("monthly_income").alias("profile_income"), "n_missing_documents", "extraction_confidence", "verification_status", "n_provenance", "estimated_value", "valuation_confidence", "valuation_variance_percent", "rera_status")
-    credit = assessed.select("application_id", "monthly_income", "loan_amount", "property_value", "cibil_score", "risk_tier", "foir", "ltv", "income_stability", "credit_confidence")
-    return credit.join(own, "application_id").join(checks, "application_id")
+    own = cases.select("application_id", "doc_monthly_income", F.col("monthly_income").alias("profile_income"), "n_missing_documents", "extraction_confidence", "verification_status", "n_provenance", "estimated_value", "valuation_confidence", "valuation_variance_percent", "rera_status", F.lit(True).alias("has_case"))
+    credit = assessed.select("application_id", "monthly_income", "loan_amount", "property_value", "cibil_score", "risk_tier", "foir", "ltv", "income_stability", "credit_confidence", F.lit(True).alias("has_credit"))
+    df = credit.join(own, "application_id", "full").join(checks, "application_id", "left")
+    missing = F.coalesce(F.col("application_id").cast("string"), F.lit("")).eqNullSafe("") | F.col("has_credit").isNull() | F.col("has_case").isNull()
+    return df.withColumn("missing", missing).drop("has_credit", "has_case")
 
 
 def steps(x: Column, rules: list[tuple[float, float]], otherwise: float, missing: float) -> Column:
@@ -75,7 +78,8 @@ def steps(x: Column, rules: list[tuple[float, float]], otherwise: float, missing
 
 
 def decided(assessed: DataFrame, cases: DataFrame) -> DataFrame:
-    """Risk components and score, confidence, gate and decision of each application, without roles."""
+    """Risk components and score, confidence, gate and decision of each application, without roles. With
+    missing inputs nothing is assessed: score and confidence are 0, the components null, and it is suspended."""
     c = F.col
     df = joined_cases(assessed, cases)
     score = c("cibil_score")
@@ -104,7 +108,9 @@ def decided(assessed: DataFrame, cases: DataFrame) -> DataFrame:
     df = df.withColumns({"decision_score": rounded(total, 1), "n_high": high, "material": F.coalesce(disagrees, F.lit(False)), "mean_stated": F.coalesce(mean, F.lit(0.0))})
     confidence = 0.50 + 0.25 + 0.15 * c("mean_stated") + 0.20 * F.least(c("n_provenance") / 10.0, F.lit(1.0)) - 0.10 * c("n_high") - F.when(c("material"), 0.10).otherwise(0.0) - F.least(0.05 * c("n_critical"), F.lit(0.15))
     df = df.withColumn("confidence", rounded(clamp(confidence, 0.0, 1.0), 4))
-    gate = F.when(c("n_critical") > 0, "critical_compliance").when(c("n_high") > 0, "contradiction").when(c("confidence") < DECISION["confidence"], "low_confidence")
+    unknown = {x: F.when(~c("missing"), c(x)) for x in (*(f"part_{name}" for name in parts), "n_high", "material", "mean_stated")}
+    df = df.withColumns(unknown | {x: F.when(c("missing"), 0.0).otherwise(c(x)) for x in ("decision_score", "confidence")})
+    gate = F.when(c("missing"), "missing_inputs").when(c("n_critical") > 0, "critical_compliance").when(c("n_high") > 0, "contradiction").when(c("confidence") < DECISION["confidence"], "low_confidence")
     df = df.withColumn("gate", gate)
     decision = F.when(c("gate").isNotNull(), "SUSPEND").when(c("decision_score") >= DECISION["approve"], "APPROVE").when(c("decision_score") <= DECISION["deny"], "DENY").otherwise("SUSPEND")
     level = F.when(c("decision_score") >= 80, "LOW").when(c("decision_score") >= 60, "MODERATE").when(c("decision_score") >= 40, "HIGH").otherwise("VERY_HIGH")
