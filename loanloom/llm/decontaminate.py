@@ -12,7 +12,7 @@ How it scales: one pass over the documents, no shuffle. The benchmark is taken i
 
 Defined results: null or empty texts and items match nothing. Of several stretches of one item in a
 document the one with most equal words counts, the first on a tie. Items of fewer words than the shortest
-mask spans can't be found. Repeated items count once for each item_id; repeated rows of docs stay repeated.
+mask spans, or as many, have runs of as many words as they need for seeds. Repeated items count once for each item_id; repeated rows of docs stay repeated.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from loanloom.llm.cluster import only, ship
 #: Six words each. Any of them alone survives a substitution of every fifth word.
 MASKS = ("11101011", "110110101", "1011010011")
 STEPS = tuple(tuple(i for i, x in enumerate(m) if x == "1") for m in MASKS)
+#: Words that the shortest mask spans.
+SHORTEST = min(map(len, MASKS))
 SUBSTITUTION = 3
 MIN_MATCHED = 10
 SHARE_OF_ITEM = 0.8
@@ -41,7 +43,7 @@ _BITS = 22
 class SeedIndex:
     """The seeds of a bounded set of items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], min_matched: int, share: float):
         hashes, first = [], [0]
         for _, data, offsets in textbatch.blocks(pa.array(texts, pa.large_string())):
             h, f = textbatch.word_hashes(data, offsets, gap=textbatch.PUNCTUATION)
@@ -58,6 +60,17 @@ class SeedIndex:
             seeds.append(seed[at])
             items.append(owner[at])
             places.append(at - self.first[owner[at]])
+        # in items no longer than the shortest mask no stretch gains by a substitution: equal words are one run
+        sizes = np.diff(self.first)
+        run = np.where(sizes <= SHORTEST, np.ceil(np.minimum(min_matched, share * sizes)), 0).astype(np.int64)
+        self.runs = [tuple(range(n)) for n in np.unique(run).tolist() if n > 0]
+        for steps in self.runs:
+            seed = textbatch.joined(self.words, steps)
+            inside = (owner[: len(seed)] == owner[steps[-1] :]) & (run[owner[: len(seed)]] == len(steps))
+            at = np.flatnonzero(inside)
+            seeds.append(seed[at])
+            items.append(owner[at])
+            places.append(at - self.first[owner[at]])
         seeds, items, places = np.concatenate(seeds), np.concatenate(items), np.concatenate(places)
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.items, self.places = seeds[order], items[order], places[order]
@@ -69,7 +82,7 @@ class SeedIndex:
         found: set[tuple[int, int, int]] = set()
         if not len(self.seeds):
             return found
-        for steps in STEPS:
+        for steps in (*STEPS, *self.runs):
             seed = textbatch.joined(words, steps)
             at = np.flatnonzero(self.bitmap[(seed >> np.uint64(64 - _BITS)).astype(np.int64)])
             text = np.searchsorted(first, at, "right") - 1
@@ -98,13 +111,13 @@ class SeedIndex:
         return min(min_matched, share * (self.first[item + 1] - self.first[item]))
 
 
-def indexes(benchmark: DataFrame) -> Iterator[SeedIndex]:
+def indexes(benchmark: DataFrame, min_matched: int, share: float) -> Iterator[SeedIndex]:
     """Seed indexes of chunks of the benchmark."""
     items = only(benchmark, "item_id", "text").where("text is not null")
     chunks = max(1, -(-items.count() // CHUNK))
     for k in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k).collect() if chunks > 1 else items.collect()
-        yield SeedIndex([r["item_id"] for r in rows], [r["text"] for r in rows])
+        yield SeedIndex([r["item_id"] for r in rows], [r["text"] for r in rows], min_matched, share)
 
 
 def _found(index: SeedIndex, column: pa.Array, min_matched: int, share: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -128,7 +141,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCH
     source = only(docs, "doc_id", "text")
     schema = source.schema.fields[0].simpleString().replace(":", " ") + ", item_id long, n_matched long, start_word long, end_word long"
     out = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, min_matched, share_of_item):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -146,7 +159,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, min_matched: int =
     """The rows of docs that no benchmark item contaminates, with all their columns."""
     ship(docs.sparkSession)
     at = docs.columns.index("text")
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, min_matched, share_of_item):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
