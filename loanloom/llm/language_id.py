@@ -164,7 +164,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network |
     share = F.create_map([x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * per_language / r["count"] + 20 / r["count"])))])
     picked = usable.where(order < F.element_at(share, F.col("lang")) * F.lit(1 << 30)).withColumn("order", order)
     bound = int(1.6 * per_language + 40) * len(counts)
-    rows = picked.withColumn("text", F.substring("text", 1, 20_000)).orderBy("order", "doc_id").limit(bound).select("text", "lang").collect()
+    rows = picked.orderBy("order", "doc_id").limit(bound).select("text", "lang").collect()
     taken: dict[str, int] = {}
     sample = []
     for r in rows:

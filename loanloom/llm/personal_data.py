@@ -32,9 +32,8 @@ from loanloom.llm.cluster import only, ship
 from loanloom.llm.textbatch import pieces
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the training sample: documents with a candidate token, and code points of one of them.
+#: Bound of the training sample: documents with a candidate token, each with its whole text.
 SAMPLE = 600
-SAMPLE_CHARS = 20_000
 LEAST = 0.9
 #: Rounds of message passing; stops sooner when messages settle.
 ROUNDS = 30
@@ -235,7 +234,7 @@ def fit(texts: list[str], rounds: int = 300) -> Field:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    usable = docs.where(F.col("text").rlike("[0-9@+]")).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    usable = docs.where(F.col("text").rlike("[0-9@+]")).select("doc_id", "text")
     order = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
     n = docs.count()
     share = min(1.0, 40 * sample / max(1, n))

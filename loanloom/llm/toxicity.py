@@ -27,9 +27,8 @@ from loanloom.llm import textbatch
 from loanloom.llm.cluster import only, ship
 from loanloom.llm.language_id import held_out
 
-#: Bounds of the training sample: documents of either label, and code points of one of them.
+#: Bound of the training sample: documents of either label, each with its whole text.
 SAMPLE_PER_LABEL = 2500
-SAMPLE_CHARS = 20_000
 BITS = 18
 #: Sentences at or above this score offend.
 OFFENDS = 0.5
@@ -119,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, 1.2 * per_label / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, 1.2 * per_label / max(1, counts.get(0, 0)))))
     picked = known.where(order < share * F.lit(1 << 30)).orderBy(order, "doc_id").limit(3 * per_label)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * per_label).collect()
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * per_label).collect()
     if not rows:
         return None
     taken = {k: sum(r["toxic"] == k for r in rows) for k in (0, 1)}

@@ -2,7 +2,7 @@
 
 import random
 
-from loanloom.llm import decontaminate
+from loanloom.llm import decontaminate, language_id, personal_data, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rnd = random.Random(11)
@@ -24,3 +24,15 @@ def test_short_benchmark_items(spark):
     got = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
     assert got == {(1, 1): 2, (2, 2): 7, (3, 3): 6, (4, 4): 1, (5, 5): 5}
     assert sorted(r["doc_id"] for r in decontaminate.without_benchmark(docs(spark, rows), bench).collect()) == [6, 7, 8]
+
+
+def test_models_learn_from_whole_texts(spark, monkeypatch):
+    """The last word of a text of more than 20,000 characters is in the training sample of each model."""
+    table = docs(spark, [(k, prose(3000) + f" 12{k} lastword") for k in range(12)])
+    seen = []
+    for module in (language_id, personal_data, toxicity):
+        monkeypatch.setattr(module, "fit", lambda texts, *rest: seen.append(texts))
+    language_id.train(table)
+    personal_data.train(table)
+    toxicity.train(table, spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int"))
+    assert len(seen) == 3 and all(texts and all(t.endswith("lastword") for t in texts) for texts in seen)
