@@ -69,9 +69,9 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int = 150, rare: float = 0.004, sparse: float = 0.0002) -> Model:
+def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int = 150, rare: int = 3, sparse: float = 0.0002) -> Model:
     """Minimises the weighted log loss of the noisy-or with Adam; weights undo the sampling of labels.
-    Words of fewer than a share of the documents are left out, an L1 penalty zeroes what tells little, and
+    Words of fewer than rare documents are left out, an L1 penalty zeroes what tells little, and
     a leak takes the labels that no sentence explains; it isn't part of the model."""
     words, sentence, doc, n_sentences = [], [], [], 0
     for row, data, offsets in textbatch.blocks(pa.array(texts, pa.large_string())):
@@ -85,7 +85,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int =
     importance /= importance.sum()
     pairs = np.unique(words * len(texts) + doc[sentence])  # a bucket counts once in a document
     spread = np.bincount(pairs // len(texts), minlength=1 << BITS)
-    usable = spread[words] >= max(3, int(rare * len(texts)))
+    usable = spread[words] >= rare
     words, sentence = words[usable], sentence[usable]
     used, column = np.unique(words, return_inverse=True)
     theta = np.zeros(len(used) + 2)  # weights, sentence bias, leak

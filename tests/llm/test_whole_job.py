@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from loanloom.llm import decontaminate, language_id, personal_data, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,3 +38,14 @@ def test_models_learn_from_whole_texts(spark, monkeypatch):
     personal_data.train(table)
     toxicity.train(table, spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int"))
     assert len(seen) == 3 and all(texts and all(t.endswith("lastword") for t in texts) for texts in seen)
+
+
+def test_rare_toxic_words_are_learned():
+    """A word in 5 of 1,500 documents, all of them toxic, gets a weight."""
+    texts = [prose(8) + "." for _ in range(1500)]
+    toxic = [int(k % 50 == 0) for k in range(1500)]
+    for k in range(0, 1500, 50):
+        texts[k] += " you scumword." if k < 250 else " you badword."
+    model = toxicity.fit(texts, toxic, [1.0] * len(texts))
+    scores = [float(x[1][0]) for t in ("fine day. you scumword.", "fine day. you badword.", "fine day. you.") for x in toxicity._each(model, pa.array([t]))]
+    assert scores[0] > 0.5 and scores[1] > 0.5 > scores[2]
