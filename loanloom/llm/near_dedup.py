@@ -17,7 +17,8 @@ once more by its rare shingles, after which only frequent ones count for the bou
 The skewed joins have plain shuffles on both sides, which adaptive execution splits.
 
 Defined results: null or blank text is an empty set, linked with nothing. A null doc_id takes no part
-(component null, kept). Rows that repeat a doc_id are judged row by row. Ties cannot occur: the
+(component null, kept). Rows that repeat a doc_id are judged by their class: rows equal in both are one, others
+are documents of their own. Ties cannot occur: the
 component is the smallest doc_id. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanloom.llm import textbatch
 from loanloom.llm.cluster import only, ship, written
@@ -67,6 +69,13 @@ def _sets(column: pa.Array, n_words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def _digest(shingles: np.ndarray) -> tuple[int | None, int | None]:
+    if not len(shingles):
+        return None, None
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 class _Signer:
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
@@ -99,14 +108,11 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             n, hi, lo, keys = [], [], [], []
             for s in _sets(batch.column(1), words):
                 n.append(len(s))
+                a, b = _digest(s)
+                hi.append(a)
+                lo.append(b)
                 if len(s):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    hi.append(int.from_bytes(digest[:8], "little", signed=True))
-                    lo.append(int.from_bytes(digest[8:], "little", signed=True))
                     keys.append(sign(s))
-                else:
-                    hi.append(None)
-                    lo.append(None)
             sizes = np.array([0, *(bands if x else 0 for x in n)]).cumsum()
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -118,6 +124,19 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
+def digested(docs: DataFrame, words: int) -> DataFrame:
+    """doc (the whole row), doc_id, text and the class digest (hi, lo) of every row of docs."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_digest(s) for s in _sets(batch.column(2), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))], ["doc", "doc_id", "text", "hi", "lo"])
+
+    source = docs.select(F.struct(*docs.columns).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return source.mapInArrow(run, T.StructType([*source.schema, T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """id and set (sorted hashes) of the documents in ids."""
     near = F.broadcast(ids) if ids.count() * 8 <= BROADCAST_BYTES else ids
@@ -199,7 +218,31 @@ def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs; see the top of this file."""
+    return judged(docs, words, percent)[0].drop("hi", "lo")
+
+
+def judged(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of near_duplicates with their class (hi, lo), and the doc_ids that repeat."""
     signed = written(signatures(docs, words, percent), "signatures")
+    repeated = written(signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return grouped(docs, signed, words, percent), repeated
+    # each (doc_id, class) gets an id of its own, in the order of doc_id, so the smallest id has the smallest doc_id
+    rows = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", "hi", "lo").distinct().orderBy("doc_id", "hi", "lo")
+    rows = written(rows.select("*", F.monotonically_increasing_id().alias("id")), "rows")
+    keys = ["doc_id", "hi", "lo"]
+    own = signed.join(rows, keys).drop("doc_id").withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id"])
+    texts = digested(docs, words).join(rows, keys).groupBy("id").agg(F.min("text").alias("text")).select(F.col("id").alias("doc_id"), "text")
+    own = written(own.select(*signed.columns), "signatures")
+    found = grouped(written(texts, "texts"), own, words, percent).select(F.col("doc_id").alias("id"), F.col("component_id").alias("component"), "kept")
+    first = rows.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id"))
+    found = found.join(rows, "id").join(first, "component").select(*keys, "component_id", "kept")
+    out = signed.select("doc_id", "n_shingles", "hi", "lo").join(found, keys, "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("kept", F.lit(True)).alias("kept"), "hi", "lo"), repeated
+
+
+def grouped(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of judged() where no doc_id repeats; signed: the signatures of docs."""
     used = signed.where("doc_id is not null and n_shingles > 0")
     classes = written(used.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
     reps = used.join(classes, ["hi", "lo"]).where("doc_id = rep").select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
@@ -263,19 +306,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     else:
         result = result.withColumn("component", F.lit(None).cast("long"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    result = result.select("doc_id", "n_shingles", component.alias("component_id"), "hi", "lo")
+    return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "hi", "lo")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: the smallest doc_id, and of rows that repeat it one."""
-    found = written(near_duplicates(docs, words, percent).select("doc_id", "kept"), "near")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    near = F.broadcast(dropped) if found.where("not kept").count() * 8 <= BROADCAST_BYTES else dropped
-    kept = docs.join(near, "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """docs with one row of each group: the smallest doc_id, and of rows equal in class and doc_id the one of
+    the smallest text."""
+    found, repeated = judged(docs, words, percent)
+    dropped = written(found.where("not kept").select("doc_id", "hi", "lo").distinct(), "near")
+    n = dropped.count()
+    near = F.broadcast(dropped.select("doc_id").distinct()) if n * 8 <= BROADCAST_BYTES else dropped.select("doc_id").distinct()
     n = repeated.count()
     if not n:
-        return kept
+        return docs.join(near, "doc_id", "left_anti").select(*docs.columns)
     again = F.broadcast(repeated) if n * 8 <= BROADCAST_BYTES else repeated
-    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    single = docs.join(again, "doc_id", "left_anti").join(near, "doc_id", "left_anti").select(*docs.columns)
+    each = digested(docs.join(again, "doc_id", "left_semi").select(*docs.columns), words).join(dropped, ["doc_id", "hi", "lo"], "left_anti")
+    one = each.groupBy("doc_id", "hi", "lo").agg(F.min_by("doc", F.struct("text", F.to_json("doc"))).alias("doc"))
+    return single.unionByName(one.select("doc.*"))

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from loanloom.llm import decontaminate, language_id, personal_data, toxicity
+from loanloom.llm import decontaminate, language_id, near_dedup, personal_data, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rnd = random.Random(11)
@@ -49,3 +49,18 @@ def test_rare_toxic_words_are_learned():
     model = toxicity.fit(texts, toxic, [1.0] * len(texts))
     scores = [float(x[1][0]) for t in ("fine day. you scumword.", "fine day. you badword.", "fine day. you.") for x in toxicity._each(model, pa.array([t]))]
     assert scores[0] > 0.5 and scores[1] > 0.5 > scores[2]
+
+
+def test_texts_that_share_an_id(spark):
+    """Different texts of one doc_id are documents of their own; rows equal in id and class are one."""
+    a, b, c, d = prose(80), prose(80), prose(80), prose(80)
+    near = lambda t: t.replace(t.split()[40], "changed", 1)
+    rows = [(1, a), (2, near(a)), (2, b), (2, b), (3, c), (3, near(c)), (4, d), (5, d), (5, near(b)), (6, None), (6, None), (6, c + prose(60)), (None, a), (None, a)]
+    kept = near_dedup.one_of_each(docs(spark, rows), 5, 80)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(1, a), (2, b), (3, c), (4, d), (6, None), rows[11], (None, a), (None, a)]
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    first = min((near_dedup._digest(next(near_dedup._sets(pa.array([t], pa.large_string()), 5))), t) for t in (c, near(c)))[1]
+    assert sorted(got, key=key) == sorted([x if x != (3, c) else (3, first) for x in want], key=key)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows), 5, 80).collect()}
+    assert {(2, 76, 1, False), (2, 76, 2, True), (5, 76, 4, False), (5, 76, 2, False), (3, 76, 3, True), (3, 76, 3, False), (6, 0, 6, True)} <= found
