@@ -3,8 +3,10 @@
 import random
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from loanloom.llm import decontaminate, language_id, near_dedup, personal_data, toxicity
+from loanloom.llm import byte_bpe, decontaminate, language_id, near_dedup, personal_data, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rnd = random.Random(11)
@@ -64,3 +66,17 @@ def test_texts_that_share_an_id(spark):
     assert sorted(got, key=key) == sorted([x if x != (3, c) else (3, first) for x in want], key=key)
     found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows), 5, 80).collect()}
     assert {(2, 76, 1, False), (2, 76, 2, True), (5, 76, 4, False), (5, 76, 2, False), (3, 76, 3, True), (3, 76, 3, False), (6, 0, 6, True)} <= found
+
+
+def test_pipeline_decodes_what_it_encodes(spark, monkeypatch):
+    import corpus_pipeline
+
+    table = docs(spark, [(1, "ÀÉ é e\u0301 漢字 😀 <|endoftext|> don't\r\n\0"), (2, None), (None, ""), (2, prose(50))])
+    got = corpus_pipeline.tokens(spark, table, "")
+    assert got.columns == ["doc_id", "n_tokens", "ids"] and got.schema["doc_id"].dataType.simpleString() == "bigint"
+    want = sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in byte_bpe.encode(table).collect())
+    assert sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in got.collect()) == want
+    decode = byte_bpe.decode
+    monkeypatch.setattr(byte_bpe, "decode", lambda x: decode(x).withColumn("text", F.concat("text", F.lit("x"))))
+    with pytest.raises(Exception, match="decoded text differs"):
+        corpus_pipeline.tokens(spark, table, "").collect()
