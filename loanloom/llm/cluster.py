@@ -7,18 +7,25 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loanloom.llm import textbatch
+
+#: Bytes of rows that Spark hands to a Python worker at once: long texts come in smaller batches.
+BATCH_BYTES = 4 << 20
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset (tests on
-    one machine), a temporary folder of this process is used."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local master (tests on
+    one machine) gets a temporary folder of this process; on a cluster no folder of one machine would do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -35,7 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once per application."""
+    """Gives the executors this package, once per application, and lowers the session's Arrow batches to
+    BATCH_BYTES where they may be larger."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(limit).rstrip("b")
+    if size.isdigit() and int(size) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     context = spark.sparkContext
     key = context.applicationId + ":package"
     if key in _own:
@@ -47,6 +59,12 @@ def ship(spark: SparkSession) -> None:
     _own[key] = top
 
 
+def mapped(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """df.mapInArrow with this package on the executors; workers keep nothing large between partitions."""
+    ship(df.sparkSession)
+    return df.mapInArrow(textbatch.released(run), schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

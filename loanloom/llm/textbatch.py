@@ -4,7 +4,9 @@ so that memory does not grow with the batch; one longer document is a block of i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +51,41 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, for what makes Python objects of each."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches of about size bytes at most, for what makes Python objects of each; a
+    longer row is a batch of its own. Column 1 holds what is long."""
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def release() -> None:
+    """Gives back to the system what a worker holds between tasks: workers are used again, and an executor's
+    memory would hold the largest needs of all stages at once."""
+    del _powers[:]
+    _powers.extend((np.ones(1, np.uint64), np.ones(1, np.uint64)))
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run, with what it held given back once its partition or group is done."""
+
+    def whole(*args) -> Iterator:
+        try:
+            yield from run(*args)
+        finally:
+            release()
+
+    return whole
 
 
 def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
