@@ -2,15 +2,20 @@
 
 Bytes are embedded, filters of several widths slide over them, each filter keeps its maximum over a
 window, and a softmax layer turns the maxima into languages. It is trained in numpy on a bounded sample of
-labelled documents (SAMPLE_PER_LANGUAGE each). A text is cut into windows of WINDOW bytes that overlap
-by the widest filter, all of them are scored in batches, and the windows' logits are averaged by bytes.
+labelled documents (SAMPLE_PER_LANGUAGE of each language; all languages, however rare). Each round of
+training draws windows anew from anywhere in each of their texts; of a text with more than EXCERPT
+windows, the executors draw that many from all of it, so that what reaches the driver is bounded in bytes
+by the sample. A text is cut into windows of WINDOW bytes that overlap by the widest filter, all of them
+are scored in batches, and the windows' logits are averaged by bytes.
 
 How it scales: training reads the labels once and a sample of the texts; scoring is one pass without a
-shuffle, and the network (a few thousand numbers) is all that is sent out.
+shuffle, and the network (a few thousand numbers, and as many for each language as there are filters) is
+all that is sent out. A long text is scored window by window; nothing of it is held but its bytes.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text when no
 labelled document can be learned from. Of equal logits the first language in alphabetical order wins.
-Repeated rows stay repeated; extra columns are ignored by predict() and pass through keep_known().
+Repeated rows stay repeated; extra columns are ignored by predict() and pass through keep_known(). An
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.llm import textbatch
-from loanloom.llm.cluster import only, ship
+from loanloom.llm.cluster import mapped, only
 
-#: Bounds of the training sample: documents of a language, and languages (the most frequent ones).
+#: Bound of the training sample: labelled documents of a language.
 SAMPLE_PER_LANGUAGE = 600
-LANGUAGES = 200
+#: Windows that the driver holds of each sampled document, drawn from its whole text.
+EXCERPT = 128
+#: Windows that a round of training draws from each sampled document.
+DRAWN = 3
 #: Bytes of a window; a power of two, so that maxima are taken by halving.
 WINDOW = 256
 WIDTHS = {2: 8, 3: 12, 4: 12}
@@ -82,43 +90,49 @@ class Network:
         return np.maximum(x.max(axis=1) + self.bias, 0) @ self.dense + self.dense_bias
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts of a block, the text of each, and its number of bytes."""
+def placed(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of a block of texts: the text, the first byte and the number of bytes of each."""
     sizes = np.diff(offsets)
     counts = -(-sizes // WINDOW)
     text = np.repeat(np.arange(len(sizes)), counts)
-    begin = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = offsets[text] + begin * WINDOW
-    places = start[:, None] + np.arange(WINDOW + WIDEST - 1)
-    ends = offsets[text + 1][:, None]
-    padded = np.append(textbatch.LOWER[data], np.uint8(0))
-    windows = padded[np.where(places < ends, places, len(data))]
-    return windows, text, np.minimum(WINDOW, ends[:, 0] - start)
+    start = offsets[text] + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW
+    return text, start, np.minimum(WINDOW, offsets[text + 1] - start)
+
+
+def windows_at(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the windows at starts, zero from the ends of their texts on; padded: lower-cased bytes and a 0."""
+    places = starts[:, None] + np.arange(WINDOW + WIDEST - 1)
+    return padded[np.where(places < ends[:, None], places, len(padded) - 1)]
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    return np.append(textbatch.LOWER[data], np.uint8(0))
 
 
 def fit(texts: list[str], labels: list[str], rounds: int = 14, seed: int = 7) -> Network:
-    """Trains on windows of the texts, some cut short, with Adam on the cross-entropy."""
+    """Trains on windows of the texts, some cut short, with Adam on the cross-entropy. Every round draws
+    DRAWN windows from each text."""
     languages = sorted(set(labels))
     random = np.random.default_rng(seed)
     net = Network.fresh(languages, random)
     number = {x: k for k, x in enumerate(languages)}
-    windows, targets = [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = np.frombuffer(text.encode(), np.uint8)
-        if not len(data):
-            continue
-        got = cut(data, np.array([0, len(data)]))[0]
-        got = got[random.permutation(len(got))[:3]]
-        windows.append(got)
-        targets.extend([number[label]] * len(got))
-    windows, targets = np.concatenate(windows), np.array(targets)
-    short = random.integers(8, 2 * windows.shape[1], len(windows))
-    windows = np.where(np.arange(windows.shape[1]) < short[:, None], windows, np.uint8(0))
+    data, offsets = textbatch.buffers(pa.array(texts, pa.large_string()))
+    padded, counts = _padded(data), -(-np.diff(offsets) // WINDOW)
+    owner = np.repeat(np.flatnonzero(counts), np.minimum(counts, DRAWN)[counts > 0])
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    targets = np.array([number[x] for x in labels])[owner]
     parts = ("embedding", "filters", "bias", "dense", "dense_bias")
     first = {p: np.zeros_like(getattr(net, p)) for p in parts}
     second = {p: np.zeros_like(getattr(net, p)) for p in parts}
     mask, step = Network.mask(), 0
     for _ in range(rounds):
+        # the nth draw of a text is a random window of its nth part, so that no window is drawn twice
+        parts_of = np.minimum(counts, DRAWN)[owner]
+        low, high = counts[owner] * nth // parts_of, counts[owner] * (nth + 1) // parts_of
+        starts = offsets[owner] + (low + (random.random(len(owner)) * (high - low)).astype(np.int64)) * WINDOW
+        windows = windows_at(padded, starts, offsets[owner + 1])
+        short = random.integers(8, 2 * windows.shape[1], len(windows))
+        windows = np.where(np.arange(windows.shape[1]) < short[:, None], windows, np.uint8(0))
         order = random.permutation(len(windows))
         for at in range(0, len(order), 64):
             own = order[at : at + 64]
@@ -153,18 +167,40 @@ def fit(texts: list[str], labels: list[str], rounds: int = 14, seed: int = 7) ->
     return net
 
 
+def excerpts(docs: DataFrame) -> DataFrame:
+    """The rows of docs (text first) with at most EXCERPT windows of each text: all of it up to that size, else
+    a window at random from each of EXCERPT equal parts of it."""
+    size = EXCERPT * WINDOW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng(13)
+        for batch in batches:
+            texts = []
+            for text in batch.column(0):
+                raw = text.as_buffer() if text.is_valid else None
+                if raw is not None and raw.size > size:
+                    parts = np.linspace(0, raw.size - WINDOW, EXCERPT + 1).astype(np.int64)
+                    starts = [int(random.integers(a, max(a + 1, b))) for a, b in zip(parts, parts[1:])]
+                    whole = memoryview(raw)
+                    raw = b" ".join(bytes(whole[a : a + WINDOW]) for a in starts)
+                texts.append(None if raw is None else bytes(raw).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], batch.schema.names)
+
+    return mapped(docs, run, docs.schema)
+
+
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
     """Learns from text and non-null lang of the documents that aren't held out. The sample of each
     language is a share of its documents by a hash of the id, and per_language at most."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True))).select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True))).select("text", "doc_id", "lang")
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return None
     order = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     share = F.create_map([x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * per_language / r["count"] + 20 / r["count"])))])
     picked = usable.where(order < F.element_at(share, F.col("lang")) * F.lit(1 << 30)).withColumn("order", order)
     bound = int(1.6 * per_language + 40) * len(counts)
-    rows = picked.orderBy("order", "doc_id").limit(bound).select("text", "lang").collect()
+    rows = excerpts(picked).orderBy("order", "doc_id").limit(bound).select("text", "lang").collect()
     taken: dict[str, int] = {}
     sample = []
     for r in rows:
@@ -182,10 +218,12 @@ def _scored(net: Network | None, column: pa.Array, has_letter: pa.Array) -> tupl
     letters = has_letter.to_pylist()
     for row, data, offsets in textbatch.blocks(column):
         total = np.zeros((len(offsets) - 1, len(net.languages)))
-        windows, text, size = cut(data, offsets)
-        for at in range(0, len(windows), 64):
-            part = net.logits(windows[at : at + 64]) * size[at : at + 64, None]
-            np.add.at(total, text[at : at + 64], part)
+        padded = _padded(data)
+        text, start, size = placed(offsets)
+        for at in range(0, len(text), 64):
+            own = slice(at, at + 64)
+            part = net.logits(windows_at(padded, start[own], offsets[text[own] + 1])) * size[own, None]
+            np.add.at(total, text[own], part)
         total /= np.maximum(np.diff(offsets), 1)[:, None]
         p = np.exp(total - total.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -202,7 +240,6 @@ def _with_letter(docs: DataFrame) -> Column:
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs."""
-    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,13 +249,12 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     source = only(docs, "doc_id", "text")
     schema = source.schema.fields[0].simpleString().replace(":", " ") + ", lang_pred string, score double"
-    return source.select("doc_id", "text", _with_letter(source).alias("letter")).mapInArrow(run, schema)
+    return mapped(source.select("doc_id", "text", _with_letter(source).alias("letter")), run, schema)
 
 
 def keep_known(docs: DataFrame, net: Network | None, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs with a recognised language, all columns; lang is what was predicted. Without a
     network nothing can be rejected for its score, only texts without a letter."""
-    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
@@ -234,4 +270,4 @@ def keep_known(docs: DataFrame, net: Network | None, least_score: float = LEAST_
             yield pa.RecordBatch.from_arrays(columns, docs_columns).filter(keep)
 
     docs_columns = docs.columns
-    return docs.select(*[docs[c] for c in docs.columns], _with_letter(docs)).mapInArrow(run, docs.schema)
+    return mapped(docs.select(*[docs[c] for c in docs.columns], _with_letter(docs)), run, docs.schema)
