@@ -3,7 +3,8 @@
 A pre-token is a contiguous array of parts with the ranks of adjacent pairs beside it: the smallest rank
 is looked up again and again, its boundary is deleted, and the two neighbouring ranks are refreshed. That
 is quick for short words; pre-tokens of more than SHORT bytes keep the pairs in a heap instead. Pre-tokens
-that were met before come from a bounded dictionary, cleared when full. No shuffle; memory is a batch.
+that were met before come from a bounded dictionary, cleared when full and after each partition. No shuffle;
+memory is a batch of bounded bytes.
 
 Defined results: null text is empty; an empty text has no ids. The string of a special token in a text
 becomes that token. Ids are one binary value, little-endian unsigned 32-bit integers.
@@ -13,14 +14,14 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from loanloom.llm.cluster import only, ship
-from loanloom.llm.textbatch import pieces
+from loanloom.llm.cluster import mapped, only
+from loanloom.llm.textbatch import pieces, release
 
 SHORT = 256
 #: Pre-tokens that a Python worker remembers.
@@ -53,6 +54,7 @@ class Bpe(dict):
     def load(cls, path: str) -> Bpe:
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
+            release()  # of what reading the file took
         return cls._loaded[path]
 
     def __init__(self, path: str):
@@ -144,31 +146,61 @@ class Bpe(dict):
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
+def _forgetting(bpe: Bpe, batches: Iterator[pa.RecordBatch], each: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """each of the pieces of batches; the words remembered go with the partition, the vocabulary stays."""
+    try:
+        yield from map(each, pieces(batches))
+    finally:
+        bpe.clear()
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (binary) of every text of docs."""
-    ship(docs.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(path)
-        for batch in pieces(batches):
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = pc.fill_null(batch.column(1), "").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bpe.encode, texts), pa.binary())], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bpe.encode, texts), pa.binary())], ["doc_id", "ids"])
+
+        return _forgetting(bpe, batches, each)
 
     source = only(docs, "doc_id", "text")
-    return source.mapInArrow(run, source.schema.fields[0].simpleString().replace(":", " ") + ", ids binary")
+    return mapped(source, run, source.schema.fields[0].simpleString().replace(":", " ") + ", ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and the text that the ids stand for."""
-    ship(encoded.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(path)
-        for batch in pieces(batches):
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = pc.fill_null(batch.column(1), b"").to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "text"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "text"])
+
+        return _forgetting(bpe, batches, each)
 
     source = only(encoded, "doc_id", "ids")
-    return source.mapInArrow(run, source.schema.fields[0].simpleString().replace(":", " ") + ", ids binary, text string")
+    return mapped(source, run, source.schema.fields[0].simpleString().replace(":", " ") + ", ids binary, text string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids and the decoded text of every text of docs: encode() and decode() in one pass, so that a task
+    holds one vocabulary and the ids stay in its worker."""
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe.load(path)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [bpe.encode(text) for text in pc.fill_null(batch.column(1), "").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "text"])
+
+        return _forgetting(bpe, batches, each)
+
+    source = only(docs, "doc_id", "text")
+    return mapped(source, run, source.schema.fields[0].simpleString().replace(":", " ") + ", ids binary, text string")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanloom.llm import textbatch
-from loanloom.llm.cluster import only, ship
+from loanloom.llm.cluster import mapped, only
 
 #: Six words each. Any of them alone survives a substitution of every fifth word.
 MASKS = ("11101011", "110110101", "1011010011")
@@ -137,7 +137,6 @@ def _found(index: SeedIndex, column: pa.Array, min_matched: int, share: float) -
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCHED, share_of_item: float = SHARE_OF_ITEM) -> DataFrame:
     """doc_id, item_id, n_matched, start_word, end_word (exclusive) of each contaminated document and item."""
-    ship(docs.sparkSession)
     source = only(docs, "doc_id", "text")
     schema = source.schema.fields[0].simpleString().replace(":", " ") + ", item_id long, n_matched long, start_word long, end_word long"
     out = None
@@ -150,14 +149,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCH
                 rows = [pa.array([x[k] for x in found], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows[0]), *rows[1:]], ["doc_id", "item_id", "n_matched", "start_word", "end_word"])
 
-        part = source.mapInArrow(run, schema)
+        part = mapped(source, run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCHED, share_of_item: float = SHARE_OF_ITEM) -> DataFrame:
     """The rows of docs that no benchmark item contaminates, with all their columns."""
-    ship(docs.sparkSession)
     at = docs.columns.index("text")
     for index in indexes(benchmark, min_matched, share_of_item):
         sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -167,7 +165,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, min_matched: int =
                 bad = {x[0] for x in _found(sent.value, batch.column(at), min_matched, share_of_item)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.cluster import only, ship, written
+from loanloom.llm.cluster import mapped, only, written
 from loanloom.llm.textbatch import mixed
 
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -122,7 +122,6 @@ INDEX = "shard int, n long, entries long, sizes array<int>, bits binary, rest bi
 
 def build_index(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per shard: the minimal perfect hash, its arrays and the shard's frequent keys."""
-    ship(docs.sparkSession)
     source = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     shards = max(1, -(-docs.count() // DOCS_PER_SHARD))
 
@@ -137,7 +136,7 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             ends = np.append(at[1:], len(h1))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[at], h2[at], (ends - at).astype(np.int64), ids[at], ids[ends - 1] if len(at) else ids[:0])], ["h1", "h2", "n", "first", "last"])
 
-    keys = source.mapInArrow(known, "h1 long, h2 long, n long, first long, last long")
+    keys = mapped(source, known, "h1 long, h2 long, n long, first long, last long")
     keys = keys.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).repartition(F.col("shard"))
     keys = keys.groupBy("shard", "h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
@@ -184,7 +183,7 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 h1, h2, ids = h1[stay], h2[stay], ids[stay]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids)], ["h1", "h2", "doc_id"])
 
-    asked = source.mapInArrow(ask, "h1 long, h2 long, doc_id long").withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int"))
+    asked = mapped(source, ask, "h1 long, h2 long, doc_id long").withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int"))
 
     def probe(requests: pa.Table, arrays: pa.Table) -> pa.Table:
         h1, h2, ids = (requests.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
@@ -239,4 +238,4 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     schema = docs.schema
     for name in names[len(docs.columns) :]:
         schema = schema.add(name, "long")
-    return with_lists.mapInArrow(drop_lines, schema)
+    return mapped(with_lists, drop_lines, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanloom.llm import textbatch
-from loanloom.llm.cluster import only, ship, written
+from loanloom.llm.cluster import mapped, only, written
 
 ROWS = 4
 MISS = 1e-7
@@ -99,7 +99,6 @@ class _Signer:
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (hi, lo; null for an empty one) and its band keys."""
-    ship(docs.sparkSession)
     bands, rows = band_count(percent), ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +120,11 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             )
 
     source = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
+    return mapped(source, run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
 def digested(docs: DataFrame, words: int) -> DataFrame:
     """doc (the whole row), doc_id, text and the class digest (hi, lo) of every row of docs."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +132,7 @@ def digested(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))], ["doc", "doc_id", "text", "hi", "lo"])
 
     source = docs.select(F.struct(*docs.columns).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return source.mapInArrow(run, T.StructType([*source.schema, T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
+    return mapped(source, run, T.StructType([*source.schema, T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -150,7 +148,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["id", "shingles"])
 
-    return source.mapInArrow(run, "id long, shingles array<long>")
+    return mapped(source, run, "id long, shingles array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -6,7 +6,7 @@ forward score of a node, the best score and the pieces of all cuts of its prefix
 scores of the nodes above it, so pre-tokens that begin alike share that work. Terminals hold the counts.
 
 How it scales: one pass without a shuffle. The trie and the counts are bounded (NODES, REMEMBERED) and
-start afresh when full; pre-tokens of more than LONGEST bytes are scored without the trie.
+start afresh when full and after each partition; pre-tokens of more than LONGEST bytes are scored without the trie.
 
 Defined results: null and empty texts have 0 pre-tokens and 0 tokens. Of cuts with equal scores the one
 of fewer pieces counts. Repeated rows stay repeated; extra columns are ignored.
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loanloom.llm.byte_bpe import PATTERN
-from loanloom.llm.cluster import only, ship
+from loanloom.llm.cluster import mapped, only
 from loanloom.llm.textbatch import pieces
 
 NODES = 400_000
@@ -117,7 +117,6 @@ class UnigramTrie(dict):
 
 def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_pretokens and n_tokens of every row of docs."""
-    ship(docs.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +128,8 @@ def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
                 n_words.append(len(words))
                 n_tokens.append(sum(map(trie.__getitem__, words)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+        trie.clear()
+        trie._empty()
 
     source = only(docs, "doc_id", "text")
-    return source.mapInArrow(run, source.schema.fields[0].simpleString().replace(":", " ") + ", n_pretokens long, n_tokens long")
+    return mapped(source, run, source.schema.fields[0].simpleString().replace(":", " ") + ", n_pretokens long, n_tokens long")
