@@ -35,7 +35,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     decoded again; a text that doesn't come back as it was stops the run."""
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     # the digest of the text travels with the id
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select(F.struct("doc_id", digest.alias("sha256")).alias("doc_id"), "text")))
+    coded = byte_bpe.round_trip(docs.select(F.struct("doc_id", digest.alias("sha256")).alias("doc_id"), "text"))
     lossless = digest == F.col("doc_id.sha256")
     ids = F.when(lossless, F.col("ids")).otherwise(F.raise_error(F.lit("decoded text differs from the text encoded")).cast("binary"))
     coded = coded.select(F.col("doc_id.doc_id").alias("doc_id"), ids.alias("ids"))
