@@ -18,8 +18,9 @@ CREDIT = {
     "confidence": {"base": 0.90, "no_history": 0.30, "per_flag": 0.05, "floor": 0.30},
 }
 FLAGS = ("settled_account", "written_off_account", "dpd_over_90", "loan_stacking", "income_to_loan_mismatch")
-BUREAU_SOURCES = ("bureau", "applicant_declared", "simulated")
-COMPLIANCE = {"metro_ceiling": 3_500_000.0, "non_metro_ceiling": 2_500_000.0, "base": 0.90, "per_critical": 0.15, "per_other": 0.05, "floor": 0.30}
+BUREAU_SOURCES = ("bureau", "applicant_declared", "simulated", "demo_fixture")
+UNVERIFIED = ("applicant_declared", "simulated", "demo_fixture")
+COMPLIANCE = {"name_threshold": 90.0, "metro_ceiling": 3_500_000.0, "non_metro_ceiling": 2_500_000.0, "base": 0.90, "per_critical": 0.15, "per_other": 0.05, "floor": 0.30}
 RISK_WEIGHTS = {"credit": 0.25, "foir": 0.20, "ltv": 0.15, "property": 0.15, "documents": 0.15, "stability": 0.10}
 DECISION = {"confidence": 0.85, "approve": 80.0, "deny": 40.0, "income_tolerance": 10.0, "value_tolerance": 5.0}
 COMPLETENESS_WEIGHTS = {"locality": 20, "price_inr": 20, "area_sqft": 15, "bedrooms": 10, "bathrooms": 5, "furnishing": 5, "floor": 5, "total_floors": 5, "property_age": 5, "parking": 5, "pincode": 5}

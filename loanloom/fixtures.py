@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: View name -> its query; a view may use those before it.
 VIEWS = {
     "applications": """
 WITH b AS (
   SELECT o.o_orderkey AS application_id, o.o_orderdate AS created_at, o.o_orderstatus,
-    c.c_custkey AS custkey, r.r_name AS audit_group,
+    c.c_custkey AS custkey, CASE WHEN c.c_custkey % 37 = 0 THEN NULL ELSE r.r_name END AS audit_group,
     concat(CASE c.c_custkey % 5 WHEN 0 THEN 'Aven' WHEN 1 THEN 'Mira' WHEN 2 THEN 'Ishan' WHEN 3 THEN 'Tara' ELSE 'Nikhil' END, ' ',
            CASE c.c_custkey % 7 WHEN 0 THEN 'Rilora' WHEN 1 THEN 'Solvani' WHEN 2 THEN 'Verali' WHEN 3 THEN 'Dhanor' WHEN 4 THEN 'Kestur' WHEN 5 THEN 'Palvem' ELSE 'Orinda' END) AS name,
     CASE c.c_mktsegment WHEN 'BUILDING' THEN 'Salaried' WHEN 'AUTOMOBILE' THEN 'employee' WHEN 'MACHINERY' THEN 'Business'
          WHEN 'FURNITURE' THEN 'self-employed' ELSE ' Salary ' END AS employment_type,
-    CAST(40000 + ((c.c_custkey * 37) % 221) * 1000 AS DOUBLE) AS monthly_income,
+    CAST(CASE WHEN o.o_orderkey % 211 = 0 THEN 0 ELSE 40000 + ((c.c_custkey * 37) % 221) * 1000 END AS DOUBLE) AS monthly_income,
     CAST(10 * CAST(floor(o.o_totalprice) AS BIGINT) AS DOUBLE) AS loan_amount,
-    CAST(120 + 12 * (o.o_orderkey % 16) AS INT) AS loan_tenure_months,
+    CAST(CASE WHEN o.o_orderkey % 223 = 0 THEN 0 ELSE 120 + 12 * (o.o_orderkey % 16) END AS INT) AS loan_tenure_months,
     CAST(40 + 5 * (o.o_orderkey % 13) AS INT) AS ltv_pct,
     CAST((c.c_custkey % 8) * 2500 AS DOUBLE) AS existing_debt,
     CASE WHEN c.c_custkey % 13 = 0 THEN NULL ELSE CAST(520 + (c.c_custkey * 61 + o.o_orderkey * 7) % 360 AS INT) END AS cibil_score,
@@ -28,7 +31,7 @@ WITH b AS (
     CAST(c.c_custkey % 5 AS INT) AS recent_enquiries_last_90_days,
     CAST((o.o_orderkey % 20) * 5000 AS DOUBLE) AS credit_card_outstanding_total,
     CASE o.o_orderpriority WHEN '1-URGENT' THEN 'bureau' WHEN '2-HIGH' THEN 'bureau' WHEN '3-MEDIUM' THEN 'applicant_declared'
-         WHEN '4-NOT SPECIFIED' THEN 'simulated' ELSE NULL END AS bureau_source
+         WHEN '4-NOT SPECIFIED' THEN 'simulated' ELSE CASE WHEN o.o_orderkey % 3 = 0 THEN 'demo_fixture' ELSE NULL END END AS bureau_source
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
     JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)
 SELECT *, CAST(round(CAST(loan_amount * 100 / ltv_pct AS DECIMAL(20,8)), 2) AS DOUBLE) AS property_value,
@@ -52,12 +55,32 @@ SELECT a.application_id, a.name, a.monthly_income, a.loan_amount, a.property_val
   CASE WHEN application_id % 17 = 0 THEN 'Someone Else' WHEN application_id % 3 = 0 THEN concat(split_part(name, ' ', 2), ' ', split_part(name, ' ', 1)) WHEN application_id % 37 = 0 THEN NULL ELSE upper(name) END AS pan_card_name,
   CASE WHEN application_id % 7 = 0 THEN concat(substring(name, 1, 1), '. ', split_part(name, ' ', 2)) ELSE name END AS aadhaar_name,
   concat('ABCP', upper(substring(split_part(name, ' ', 2), 1, 1)), lpad(CAST(application_id % 10000 AS STRING), 4, '0'), 'F') AS form_pan,
-  CASE WHEN application_id % 53 = 0 THEN 'ZZZPZ9999Z' ELSE concat(' abcp', lower(substring(split_part(name, ' ', 2), 1, 1)), ' ', lpad(CAST(application_id % 10000 AS STRING), 4, '0'), 'f') END AS card_pan,
-  concat('19', CAST(60 + application_id % 35 AS STRING), '-0', CAST(1 + application_id % 9 AS STRING), '-1', CAST(application_id % 9 AS STRING)) AS form_dob,
+  card_pan, form_dob,
   application_id % 43 <> 0 AS pan_present, application_id % 47 <> 0 AS aadhaar_present, application_id % 59 <> 0 AS address_present, application_id % 61 <> 0 AS aadhaar_valid,
   application_id % 67 <> 0 AS source_of_funds_declared, application_id % 13 <> 0 AS identity_verification_logged,
-  CASE WHEN application_id % 21 = 0 THEN NULL WHEN application_id % 2 = 0 THEN 'Pune' ELSE 'Erode' END AS city
-FROM applications a
+  CASE WHEN application_id % 21 = 0 THEN NULL WHEN application_id % 22 = 0 THEN ' ' WHEN application_id % 2 = 0 THEN 'Pune' ELSE 'Erode' END AS city,
+  CASE WHEN application_id % 19 = 0 THEN NULL WHEN application_id % 31 = 0 THEN concat(name, ' Kumar') ELSE name END AS slip_name,
+  CASE WHEN application_id % 41 = 0 THEN concat(split_part(name, ' ', 1), ' X') WHEN application_id % 5 = 0 THEN '' ELSE lower(name) END AS bank_name,
+  CASE WHEN application_id % 25 = 0 THEN '01 Jan 1990' WHEN application_id % 6 = 0 THEN NULL WHEN application_id % 6 = 1 THEN concat('19', CAST(60 + application_id % 35 AS STRING), '-0', CAST(1 + application_id % 9 AS STRING), '-1', CAST(application_id % 9 AS STRING))
+       ELSE concat('1', CAST(application_id % 9 AS STRING), '/', CAST(1 + application_id % 9 AS STRING), '/19', CAST(60 + application_id % 35 AS STRING)) END AS aadhaar_dob,
+  application_id % 71 <> 0 AS pan_doc_valid, application_id % 73 <> 0 AS address_readable,
+  CASE WHEN application_id % 83 = 0 THEN 'name,Gender,loan_amount' WHEN application_id % 89 = 0 THEN 'religion,caste,name' ELSE 'name,loan_amount,monthly_income' END AS fields_used,
+  CASE WHEN application_id % 15 = 0 THEN NULL WHEN application_id % 17 = 0 THEN 600 WHEN application_id % 97 = 0 THEN 950 ELSE cibil_score END AS declared_cibil,
+  CASE WHEN application_id % 33 = 0 THEN 'HIGH' WHEN application_id % 35 = 0 THEN 'MEDIUM' WHEN application_id % 107 = 0 THEN 'CRITICAL' END AS reported_severity,
+  CASE WHEN application_id % 2 = 0 THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS reported_resolution,
+  application_id % 109 <> 0 AS has_documents, application_id % 113 <> 0 AS has_property,
+  CASE WHEN application_id % 10 = 0 THEN concat('1', CAST(application_id % 9 AS STRING), '/', CAST(1 + application_id % 9 AS STRING), '/19', CAST(50 + application_id % 45 AS STRING))
+       WHEN application_id % 10 = 1 THEN CAST(1935 + application_id % 80 AS STRING) WHEN application_id % 10 = 2 THEN concat('0', CAST(1 + application_id % 9 AS STRING), '-1', CAST(application_id % 3 AS STRING), '-', CAST(1950 + application_id % 62 AS STRING))
+       WHEN application_id % 10 = 3 THEN 'unknown' WHEN application_id % 10 = 4 THEN NULL WHEN application_id % 10 = 5 THEN '2009-05-06' ELSE form_dob END AS dob_text,
+  CASE WHEN application_id % 4 = 0 THEN NULL WHEN application_id % 12 = 1 THEN 'net_salary,employer_name' WHEN application_id % 12 = 3 THEN 'existing_debt,monthly_income,gross_salary' WHEN application_id % 12 = 5 THEN 'full_name' ELSE '' END AS overridden_fields,
+  CASE WHEN application_id % 101 = 0 THEN 'BAD123' WHEN application_id % 103 = 0 THEN 'ABCCX1234F' WHEN application_id % 79 = 0 THEN NULL ELSE card_pan END AS pan_text
+FROM (SELECT *, concat('19', CAST(60 + application_id % 35 AS STRING), '-0', CAST(1 + application_id % 9 AS STRING), '-1', CAST(application_id % 9 AS STRING)) AS form_dob,
+  CASE WHEN application_id % 53 = 0 THEN 'ZZZPZ9999Z' ELSE concat(' abcp', lower(substring(split_part(name, ' ', 2), 1, 1)), ' ', lpad(CAST(application_id % 10000 AS STRING), 4, '0'), 'f') END AS card_pan FROM applications) a
+""",
+    "bureau_reports": """
+SELECT application_id, CASE WHEN application_id % 14 = 0 THEN -1 WHEN application_id % 26 = 0 THEN NULL ELSE CAST(520 + (custkey * 61 + application_id * 7) % 360 AS INT) END AS cibil_score,
+  settled_accounts, written_off_accounts, CASE WHEN application_id % 22 = 0 THEN NULL ELSE max_dpd_last_12_months END AS max_dpd_last_12_months, recent_enquiries_last_90_days, credit_card_outstanding_total
+FROM applications WHERE application_id % 2 = 0
 """,
     "raw_listings": """
 SELECT p_partkey AS listing_id,
@@ -110,30 +133,56 @@ SELECT l_orderkey AS application_id, l_linenumber AS line_no, l_shipdate AS tx_t
 FROM lineitem
 """,
 }
-#: What each view reads among the views.
-USES = {"applications": (), "case_inputs": ("applications",), "raw_listings": (), "subjects": (), "audit_log": (), "doc_texts": ("applications", "case_inputs"), "bank_credits": ()}
+
+
+def _reads(name: str) -> list[str]:
+    """The views that a view reads."""
+    return [x for x in VIEWS if x != name and re.search(rf"\b(FROM|JOIN)\s+{x}\b", VIEWS[name])]
 
 
 def needed(*names: str) -> list[str]:
     """The views to create for the named ones, in order."""
     found: list[str] = []
     for name in names:
-        for x in (*needed(*USES[name]), name):
+        for x in (*needed(*_reads(name)), name):
             if x not in found:
                 found.append(x)
     return found
 
 
+_made: dict[tuple[str, str], DataFrame] = {}
+
+
+def _named(sql: str, prefix: str) -> str:
+    """sql with the tables and views it reads under their names in the session."""
+    return re.sub(r"\b(FROM|JOIN)(\s+)(\w+)", lambda m: m[1] + m[2] + (prefix if m[3] in TABLES or m[3] in VIEWS else "") + m[3], sql)
+
+
+def _make(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Makes a table or view in the session once, under a name of its own; gives the prefix of that name."""
+    prefix = f"loanloom_{zlib.crc32(sf_dir.encode()):08x}_"
+    key = (spark.sparkContext.applicationId + str(id(spark._jsparkSession)), prefix + name)
+    if key not in _made:
+        if name in TABLES:
+            _made[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            for x in {m[3] for m in re.finditer(r"\b(FROM|JOIN)(\s+)(\w+)", VIEWS[name]) if m[3] in TABLES or m[3] in VIEWS}:
+                _make(spark, sf_dir, x)
+            _made[key] = spark.sql(_named(VIEWS[name], prefix))
+        _made[key].createOrReplaceTempView(prefix + name)
+    return prefix
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view or a given table as a DataFrame."""
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    for x in TABLES:
-        if any(f" {x} " in VIEWS[v] + " " or f" {x}\n" in VIEWS[v] for v in needed(name)):
-            spark.read.parquet(f"{sf_dir}/{x}.parquet").createOrReplaceTempView(x)
-    for x in needed(name):
-        spark.sql(VIEWS[x]).createOrReplaceTempView(x)
-    return spark.table(name)
+    return spark.table(_make(spark, sf_dir, name) + name)
+
+
+def query(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """The rows of sql over the named fixture views and tables."""
+    for name in names:
+        prefix = _make(spark, sf_dir, name)
+    return spark.sql(_named(sql, prefix))
 
 
 def oracle(sql: str, *names: str, **more: str) -> str:

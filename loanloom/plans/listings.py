@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loanloom.fixtures import oracle, view
 from loanloom.operators import listings as x
-from loanloom.plans.credit import r
+from loanloom.plans.sql import r
 
 _LOW = "trim(regexp_replace(lower(trim(price_text)), '₹|rs\\.|rs|,', '', 'g'))"
 _P = "'([0-9.]+)\\s*(crore|cr|lakh|lakhs|lac|l|million)?'"

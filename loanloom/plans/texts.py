@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanloom.fixtures import oracle, view
+from loanloom.fixtures import oracle, query, view
 from loanloom.functions.columns import joined
 from loanloom.operators import listings, reports, texts
-from loanloom.plans.credit import CREDIT_SQL, assessed, r
-from loanloom.plans.decisions import COMPLIANCE_SQL, DECIDED_SQL, _JOINED, decided
+from loanloom.plans.credit import CREDIT_SQL, assessed
+from loanloom.plans.sql import r
 from loanloom.plans.listings import _MEDIAN, CLEAN_SQL, clean
 from loanloom.plans.monitoring import _BAND, EDGES
 from loanloom.sources import listing_table
@@ -18,13 +18,12 @@ NUMBERS = """SELECT application_id,
  CASE WHEN application_id % 11 = 0 THEN concat('XXXX-XXXX-', CAST(1000 + application_id % 9000 AS STRING)) WHEN application_id % 17 = 0 THEN NULL
   ELSE concat(CAST(application_id % 10 AS STRING), '234 5678 ', CAST(1000 + application_id % 9000 AS STRING)) END AS national_number,
  CASE WHEN application_id % 5 = 0 THEN 'abcd1000123' WHEN application_id % 19 = 0 THEN NULL ELSE concat(' abcd0', lpad(CAST(application_id % 1000000 AS STRING), 6, '0')) END AS branch_code,
- CASE WHEN application_id % 3 = 0 THEN ' bangalore ' WHEN application_id % 3 = 1 THEN 'GURUGRAM' ELSE city END AS city_text
-FROM case_inputs"""
+ CASE WHEN application_id % 3 = 0 THEN ' bangalore ' WHEN application_id % 3 = 1 THEN concat(' ', upper(split_part('{cities}', ',', CAST(1 + application_id % {n} AS INT)))) ELSE city END AS city_text
+FROM case_inputs""".replace("{cities}", ",".join(texts.CITY)).replace("{n}", str(len(texts.CITY)))
 
 
 def numbers(spark, sf_dir):
-    view(spark, sf_dir, "case_inputs")
-    return spark.sql(NUMBERS)
+    return query(spark, sf_dir, NUMBERS, "case_inputs")
 
 
 def f01_name_similarity(spark, sf_dir):
@@ -67,10 +66,6 @@ def j12_compared(spark, sf_dir):
     return found.select("application_id", joined(F.col("agreement")).alias("agreement"), joined(F.col("disagreement")).alias("disagreement"), "material")
 
 
-def a59_roles(spark, sf_dir):
-    return reports.recommended(decided(spark, sf_dir))
-
-
 def a20_quantile_edges(spark, sf_dir):
     return reports.quantile_edges(assessed(spark, sf_dir), "risk_score")
 
@@ -101,7 +96,7 @@ def s10_new_by_place(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (f01_name_similarity, f06_word_f1, v02_national_number, v03_branch_code, v04_salary_arithmetic, l08_city, d18_property_pages, l27_refused_pages,
-              j12_compared, a59_roles, a20_quantile_edges, a21_band_shares, a44_valuation_accuracy, a11_valuation_coverage, j16_exact_place, s10_new_by_place)
+              j12_compared, a20_quantile_edges, a21_band_shares, a44_valuation_accuracy, a11_valuation_coverage, j16_exact_place, s10_new_by_place)
 }
 
 
@@ -121,6 +116,7 @@ def _far(a, b):
     return f"abs({a} - {b}) / greatest({a}, 1) < 0.1::DOUBLE"
 
 
+_CITIES = " ".join(f"WHEN lower(trim(city_text)) = '{a}' THEN '{b}'" for a, b in texts.CITY.items())
 _PREFIX = "len([i for i in range(1, least(length(x), length(y)) + 1) if left(x, i) = left(y, i)])"
 _INITIALS = "list_sum(flatten([[CASE WHEN (length(s) = 1 AND starts_with(t, s)) OR (length(t) = 1 AND starts_with(s, t)) THEN 1 ELSE 0 END for t in q] for s in p]))"
 _NAMES = """SELECT *, list_distinct([w for w in string_split_regex(x, '\\s+') if w <> '']) AS p, list_distinct([w for w in string_split_regex(y, '\\s+') if w <> '']) AS q FROM (
@@ -133,7 +129,7 @@ ORACLE = {
     "v02_national_number": _n(f"SELECT application_id, coalesce(regexp_matches(upper(regexp_replace(national_number, '[ -]', '', 'g')), '{texts.NATIONAL}'), false) AS valid FROM numbers"),
     "v03_branch_code": _n(f"SELECT application_id, coalesce(regexp_matches(upper(trim(branch_code)), '{texts.BRANCH}'), false) AS valid FROM numbers"),
     "v04_salary_arithmetic": oracle(f"SELECT *, abs(gross - deductions - net) <= 2 AS adds_up FROM (SELECT application_id, {_amount('Gross Salary')} AS gross, {_amount('Total Deductions')} AS deductions, {_amount('Net Pay')} AS net FROM doc_texts WHERE true_type = 'SALARY_SLIP')", "doc_texts"),
-    "l08_city": _n("SELECT application_id, CASE WHEN lower(trim(city_text)) = 'bangalore' THEN 'Bengaluru' WHEN lower(trim(city_text)) = 'gurugram' THEN 'Gurgaon' ELSE city_text END AS city FROM numbers"),
+    "l08_city": _n(f"SELECT application_id, CASE WHEN trim(city_text) = '' THEN NULL {_CITIES} ELSE city_text END AS city FROM numbers"),
     "d18_property_pages": oracle(f"SELECT page_id, coalesce({_has('url', texts.PROPERTY)} AND NOT {_has('url', texts.NOT_PROPERTY)}, false) AS property_page FROM pages_of", pages_of="SELECT * FROM pages"),
     "l27_refused_pages": oracle(f"SELECT page_id, coalesce({_has('html', texts.REFUSED)}, false) AS refused FROM pages_of", pages_of="SELECT * FROM pages"),
     "j12_compared": oracle(
@@ -145,16 +141,6 @@ FROM (SELECT i.application_id, CASE WHEN i.doc_monthly_income <> 0 AND c.monthly
         "case_inputs",
         credit=CREDIT_SQL,
     ),
-    "a59_roles": oracle(
-        """SELECT *, underwriter <> analyst AS roles_disagree FROM (SELECT application_id,
- CASE WHEN n_critical > 0 OR confidence < 0.85::DOUBLE THEN 'SUSPEND' WHEN decision_score >= 80 THEN 'APPROVE' WHEN decision_score <= 40 THEN 'DENY' ELSE 'SUSPEND' END AS underwriter,
- CASE WHEN n_critical = 0 AND decision_score >= 85 AND confidence >= 0.9::DOUBLE THEN 'APPROVE' ELSE 'SUSPEND' END AS analyst FROM decided)""",
-        "case_inputs",
-        credit=CREDIT_SQL,
-        comp=COMPLIANCE_SQL,
-        joined=_JOINED,
-        decided=DECIDED_SQL,
-    ),
     "a20_quantile_edges": oracle(f"SELECT CAST(row_number() OVER (ORDER BY edge DESC) - 1 AS INT) AS place, edge FROM (SELECT DISTINCT {r('e', 6)} AS edge FROM (SELECT unnest(quantile_cont(risk_score, [{', '.join(str(k / 10) for k in range(1, 10))}])) AS e FROM credit))", "applications", credit=CREDIT_SQL),
     "a21_band_shares": oracle(f"SELECT CAST(k AS INT) AS band, count(b) AS n, {r('count(b) / nullif(sum(count(b)) OVER (), 0)::DOUBLE', 6)} AS share FROM range({len(EDGES) + 1}) t(k) LEFT JOIN (SELECT {_BAND} AS b FROM credit WHERE risk_score IS NOT NULL) ON b = k GROUP BY k", "applications", credit=CREDIT_SQL),
     "a44_valuation_accuracy": oracle(f"SELECT count(*) AS n, {r('100.0::DOUBLE * count(*) FILTER (WHERE e <= 10) / count(*)', 2)} AS ppe10, {r('100.0::DOUBLE * count(*) FILTER (WHERE e <= 20) / count(*)', 2)} AS ppe20, {r('median(e)', 2)} AS mdape FROM (SELECT {r('abs(estimated_value - property_value) / property_value * 100.0::DOUBLE', 4)} AS e FROM case_inputs WHERE property_value > 0 AND estimated_value IS NOT NULL)", "case_inputs"),
