@@ -86,9 +86,9 @@ FROM applications WHERE application_id % 2 = 0
 SELECT p_partkey AS listing_id,
   CASE p_partkey % 5 WHEN 0 THEN 'housing' WHEN 1 THEN 'magicbricks' ELSE 'square_yards' END AS source,
   CASE WHEN p_partkey % 40 = 0 THEN NULL ELSE concat('https://listings.example/', CAST(p_partkey % 1900 AS STRING)) END AS source_url,
-  p_type AS city, CASE WHEN p_partkey % 33 = 0 THEN NULL ELSE concat('Loc ', p_brand) END AS locality,
-  concat(CAST(1 + p_partkey % 4 AS STRING), ' BHK') AS bedrooms_text,
-  concat(CAST(600 + 20 * p_size AS STRING), ' sq ft') AS area_text,
+  p_type AS city, CASE WHEN p_partkey % 33 = 0 THEN NULL WHEN p_partkey % 45 = 0 THEN ' Whitefield' WHEN p_partkey % 46 = 0 THEN 'HSR Layout' WHEN p_partkey % 49 = 0 THEN ' ' ELSE concat('Loc ', p_brand) END AS locality,
+  CASE WHEN p_partkey % 38 = 0 THEN 'studio' ELSE concat(CAST(1 + p_partkey % 4 AS STRING), ' BHK') END AS bedrooms_text,
+  CASE WHEN p_partkey % 44 = 0 THEN 'area on request' ELSE concat(CAST(600 + 20 * p_size AS STRING), ' sq ft') END AS area_text,
   CASE WHEN p_partkey % 50 = 0 THEN 'price on request' WHEN p_partkey % 2 = 0
        THEN concat('Rs. ', CAST(CAST(floor(p_retailprice) AS BIGINT) * 6 * (600 + 20 * p_size) AS STRING))
        ELSE concat(CAST(20 + p_partkey % 80 AS STRING), '.5 Lakh') END AS price_text,
@@ -96,14 +96,17 @@ SELECT p_partkey AS listing_id,
   CASE WHEN p_partkey % 12 = 0 THEN 'For Rent' ELSE 'For Sale' END AS transaction_text,
   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(1 + p_size % 3 AS INT) END AS bathrooms,
   CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE CAST(1 + p_size % 12 AS INT) END AS total_floors,
-  CAST(p_partkey % 200 AS INT) AS listing_age_days
+  CASE WHEN p_partkey % 7 = 0 THEN 'Furnished' WHEN p_partkey % 7 = 1 THEN '' END AS furnishing, CASE WHEN p_partkey % 5 = 0 THEN CAST(1 + p_size % 9 AS INT) END AS floor,
+  CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size % 4 AS INT) END AS property_age, CASE WHEN p_partkey % 8 = 0 THEN CAST(p_size % 3 AS INT) END AS parking,
+  CASE WHEN p_partkey % 9 = 0 THEN '560001' END AS pincode, CASE WHEN p_partkey % 77 = 0 THEN NULL ELSE CAST(p_partkey % 200 AS INT) END AS listing_age_days
 FROM part
 """,
     "subjects": """
 SELECT o_orderkey AS application_id,
   CASE o_orderkey % 6 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'STANDARD' WHEN 2 THEN 'LARGE' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'SMALL' ELSE 'ECONOMY' END AS city,
   concat('Loc Brand#', CAST(1 + o_orderkey % 25 AS STRING)) AS locality,
-  CAST(1 + o_custkey % 4 AS INT) AS bhk, CAST(600 + 20 * (o_custkey % 50) AS DOUBLE) AS area_sqft
+  CASE WHEN o_custkey % 61 = 0 THEN NULL ELSE CAST(1 + o_custkey % 4 AS INT) END AS bhk, CASE WHEN o_custkey % 67 = 0 THEN NULL ELSE CAST(600 + 20 * (o_custkey % 50) AS DOUBLE) END AS area_sqft,
+  CASE o_custkey % 5 WHEN 0 THEN 'Residential Flat' WHEN 1 THEN 'villa' WHEN 2 THEN 'Independent House' WHEN 3 THEN 'Plot' ELSE 'apartment' END AS property_type
 FROM orders
 """,
     "audit_log": """
