@@ -81,6 +81,25 @@ FROM (SELECT *, concat('19', CAST(60 + application_id % 35 AS STRING), '-0', CAS
 SELECT application_id, CASE WHEN application_id % 14 = 0 THEN -1 WHEN application_id % 26 = 0 THEN NULL ELSE CAST(520 + (custkey * 61 + application_id * 7) % 360 AS INT) END AS cibil_score,
   settled_accounts, written_off_accounts, CASE WHEN application_id % 22 = 0 THEN NULL ELSE max_dpd_last_12_months END AS max_dpd_last_12_months, recent_enquiries_last_90_days, credit_card_outstanding_total
 FROM applications WHERE application_id % 2 = 0
+""",
+    "named_documents": """
+SELECT application_id, 'PAN Card' AS document, pan_card_name AS name FROM case_inputs WHERE application_id % 3 <> 1
+UNION ALL SELECT application_id, 'Aadhaar Card', aadhaar_name FROM case_inputs WHERE application_id % 4 <> 1
+UNION ALL SELECT application_id, 'Salary Slip', slip_name FROM case_inputs WHERE application_id % 5 = 0
+UNION ALL SELECT application_id, 'Bank Statement', bank_name FROM case_inputs WHERE application_id % 6 = 0
+UNION ALL SELECT application_id, 'Letter', name FROM case_inputs WHERE application_id % 7 = 0
+""",
+    "document_checks": """
+SELECT application_id,
+  CASE application_id % 5 WHEN 0 THEN 'TCS Ltd' WHEN 1 THEN 'Acme Finance' WHEN 2 THEN 'Acme Finance Pvt' WHEN 3 THEN '' ELSE 'Infosys' END AS slip_employer,
+  CASE application_id % 7 WHEN 0 THEN 'Tata Consultancy Services' WHEN 1 THEN 'Acme Finance' WHEN 2 THEN NULL WHEN 3 THEN 'Infy BPM' ELSE 'Other Works' END AS form_employer,
+  CASE WHEN application_id % 8 = 0 THEN NULL ELSE CAST(560000 + application_id % 4 AS STRING) END AS kyc_pincode, CAST(560000 + application_id % 3 AS STRING) AS property_pincode,
+  CASE WHEN application_id % 9 = 0 THEN '' ELSE concat('12 Main Road, ', CASE WHEN application_id % 2 = 0 THEN 'PUNE' ELSE 'Erode' END) END AS kyc_address, CASE WHEN application_id % 6 = 0 THEN NULL WHEN application_id % 3 = 0 THEN 'Erode' ELSE 'Pune' END AS property_city,
+  application_id % 43 <> 0 AS has_pan, application_id % 47 <> 0 AS has_aadhaar, application_id % 5 <> 3 AS has_slips, application_id % 7 <> 2 AS has_form_16, application_id % 11 = 0 AS has_itr, application_id % 31 <> 0 AS has_statement, application_id % 29 <> 0 AS has_property,
+  CASE WHEN application_id % 41 = 0 THEN NULL ELSE CAST(60 + application_id % 40 AS DOUBLE) / 100 END AS classification_confidence, CAST(application_id % 6 AS INT) AS n_checks, CAST(CASE WHEN application_id % 6 < 2 THEN 0 ELSE application_id % 2 + application_id % 6 - 1 END AS INT) AS n_passed,
+  CAST(CASE WHEN application_id % 31 = 0 THEN 1 ELSE 0 END AS INT) AS n_bad_slips, CAST(CASE WHEN application_id % 17 = 0 THEN 2 ELSE 0 END AS INT) AS n_old_slips, CAST(CASE WHEN application_id % 37 = 0 THEN 3 ELSE 0 END AS INT) AS n_bounces, CAST(CASE WHEN application_id % 19 = 0 THEN 2 WHEN application_id % 13 = 0 THEN 1 ELSE 0 END AS INT) AS n_other,
+  application_id % 19 = 0 OR application_id % 23 = 0 AS has_contradiction, CASE WHEN application_id % 2 = 0 THEN NULL ELSE application_id % 3 = 0 END AS action_matched, CASE WHEN application_id % 4 = 0 THEN NULL ELSE application_id % 10 <> 1 END AS name_correct, CASE WHEN application_id % 5 = 0 THEN NULL ELSE application_id % 8 <> 1 END AS salary_correct
+FROM applications
 """,
     "raw_listings": """
 SELECT p_partkey AS listing_id,
