@@ -139,7 +139,7 @@ FROM events
 """,
     "doc_texts": """
 SELECT application_id, 'SALARY_SLIP' AS true_type, concat('salary_', CAST(application_id AS STRING), '.pdf') AS filename,
-  concat('Payslip for May 2024', chr(10), 'Employee Name: ', name, chr(10), 'Employee ID: E', CAST(application_id AS STRING), chr(10),
+  concat('Payslip for ', CASE application_id % 9 WHEN 0 THEN 'January 2024' WHEN 1 THEN '07/2024' WHEN 2 THEN 'Mayy 2024' ELSE 'May 2024' END, chr(10), 'Basic Pay: ', CAST(CAST(floor(monthly_income / 2) AS BIGINT) AS STRING), '.00', chr(10), 'Employee Name: ', name, chr(10), 'Employee ID: E', CAST(application_id AS STRING), chr(10),
     'Gross Salary: ', CAST(CAST(monthly_income AS BIGINT) AS STRING), chr(10), 'Total Deductions: ', CAST(CAST(monthly_income AS BIGINT) / 10 AS STRING), chr(10),
     'Net Pay: ', CAST(CASE WHEN application_id % 31 = 0 THEN CAST(monthly_income AS BIGINT) ELSE CAST(monthly_income AS BIGINT) - CAST(floor(monthly_income / 10) AS BIGINT) END AS STRING), chr(10), 'Provident Fund') AS text
 FROM applications
@@ -147,6 +147,33 @@ UNION ALL
 SELECT application_id, 'PAN_CARD', concat('doc_', CAST(application_id AS STRING), '.pdf'),
   concat('INCOME TAX DEPARTMENT', chr(10), 'Permanent Account Number', chr(10), form_pan, chr(10), 'Name: ', name, chr(10), 'Date of Birth 12/03/1985')
 FROM case_inputs WHERE pan_present
+UNION ALL
+SELECT application_id, 'AADHAAR_CARD', concat('aadhaar_', CAST(application_id AS STRING), '.pdf'),
+  concat('Government of India', chr(10), 'Name: ', aadhaar_name, chr(10), 'DOB: 1', CAST(application_id % 9 AS STRING), '/02/1985', chr(10), CASE WHEN application_id % 2 = 0 THEN 'FEMALE' ELSE 'MALE' END, chr(10),
+    CASE WHEN application_id % 3 = 0 THEN 'XXXX-XXXX-' ELSE '2345 6789 ' END, CAST(1000 + application_id % 9000 AS STRING), chr(10), 'Address: Flat ', CAST(application_id % 90 AS STRING), ', Lake Road, ', coalesce(nullif(trim(city), ''), 'Erode'), chr(10), 'Pin 5600', CAST(10 + application_id % 80 AS STRING))
+FROM case_inputs WHERE aadhaar_present AND application_id % 5 = 0
+UNION ALL
+SELECT application_id, 'FORM_16', concat('form16_', CAST(application_id AS STRING), '.pdf'),
+  concat('FORM NO. 16', chr(10), 'TAN of the deductor: ABCD', lpad(CAST(application_id % 100000 AS STRING), 5, '0'), 'E', chr(10), 'Employer Name: Acme Finance', chr(10), 'PAN of the employee: ', form_pan, chr(10), 'Employee Name: ', name, chr(10), 'Assessment Year: 2024-25', chr(10),
+    'Financial Year: ', CASE WHEN application_id % 4 = 0 THEN '2022-23' ELSE '2023-24' END, chr(10), 'Gross Salary as per section 17: Rs. ', CAST(CAST(monthly_income AS BIGINT) * 12 AS STRING), '.00', chr(10), 'Total Tax Deducted: ', CAST(CAST(floor(monthly_income / 10) AS BIGINT) AS STRING))
+FROM case_inputs WHERE application_id % 6 = 0
+UNION ALL
+SELECT application_id, 'ITR', concat('tax_return_', CAST(application_id AS STRING), '.pdf'),
+  concat('Indian Income Tax Return ITR-', CAST(1 + application_id % 4 AS STRING), chr(10), 'Acknowledgement Number: 12345', lpad(CAST(application_id AS STRING), 9, '0'), chr(10), 'PAN ', form_pan, chr(10), 'AY 2024-25', chr(10), 'Gross Total Income: INR ', CAST(CAST(monthly_income AS BIGINT) * 11 AS STRING), '.50', chr(10), 'Total Deductions 15,000.00', chr(10), 'Taxes Paid: ', CAST(application_id % 7000 AS STRING))
+FROM case_inputs WHERE application_id % 8 = 0
+UNION ALL
+SELECT application_id, 'BANK_STATEMENT', concat('stmt_', CAST(application_id AS STRING), '.pdf'),
+  concat(CASE application_id % 3 WHEN 0 THEN 'HDFC Bank' WHEN 1 THEN 'Canara Bank' ELSE 'Village Bank' END, ' Account Statement', chr(10), 'Account Holder Name: ', name, chr(10), 'Account Number: 12345', lpad(CAST(application_id AS STRING), 8, '0'), chr(10), 'IFSC Code: HDFC0', lpad(CAST(application_id % 1000000 AS STRING), 6, '0'), chr(10),
+    'Statement Period: 01/01/2024 to 30/06/2024', chr(10), CASE WHEN application_id % 4 = 0 THEN concat('05/01/2024 SALARY CREDIT', chr(10), 'ref 77', chr(10), '55,', CAST(100 + application_id % 900 AS STRING), '.00')
+      ELSE concat('05/01/2024 ACH SALARY 0.00 62,', CAST(100 + application_id % 900 AS STRING), '.00 210,000.00', chr(10), '07/01/2024 HOME LOAN EMI 12,', CAST(100 + application_id % 900 AS STRING), '.50 150,000.00', chr(10), '05/02/2024 PAYROLL 61,000.00') END, chr(10), '09/02/2024 UPI TEA 40.00', chr(10), 'Closing Balance: Rs. 9', CAST(application_id % 1000 AS STRING), '.25')
+FROM case_inputs WHERE application_id % 7 = 0
+UNION ALL
+SELECT application_id, 'PROPERTY_DEED', concat('scan_', CAST(application_id AS STRING), '.pdf'),
+  concat(CASE application_id % 3 WHEN 0 THEN 'ALLOTMENT LETTER' WHEN 1 THEN 'SALE DEED' ELSE 'Agreement for Sale' END, chr(10), 'Purchaser: ', name, chr(10), 'Vendor: Acme Builders', chr(10), 'Property Address: 12 Lake Road, Whitefield, ', CASE WHEN application_id % 2 = 0 THEN 'Pune' ELSE 'Erode' END, ', 560066', chr(10),
+    CASE WHEN application_id % 5 = 0 THEN 'Plot Area: 1,200 Sq. Ft.' ELSE 'Super Built-up Area: 1,450.5 Sq. Ft.' END, chr(10), 'Consideration Amount: INR ', CAST(CAST(floor(property_value) AS BIGINT) AS STRING), chr(10), 'Registration No: REG/', CAST(application_id AS STRING))
+FROM case_inputs WHERE application_id % 9 = 0
+UNION ALL
+SELECT application_id, 'OTHER', concat('note_', CAST(application_id AS STRING), '.txt'), 'A letter without any mark.' FROM applications WHERE application_id % 50 = 0
 """,
     "bank_credits": """
 SELECT l_orderkey AS application_id, l_linenumber AS line_no, l_shipdate AS tx_ts, l_partkey, l_suppkey,

@@ -8,7 +8,7 @@ from loanloom.fixtures import oracle, view
 from loanloom.functions.columns import joined
 from loanloom.functions.names import edit_distance, token_sort_ratio
 from loanloom.operators import compliance as x
-from loanloom.plans.sql import r, sorted_words, subsequence
+from loanloom.plans.sql import edits, r, sorted_words, subsequence
 
 
 def checked(spark, sf_dir):
@@ -144,13 +144,6 @@ def _o(sql):
 _FLAGS = "SELECT application_id, generate_subscripts(flags, 1) - 1 AS place, unnest(flags) AS f FROM comp"
 
 
-def _word_edits(column):
-    """Edit distance of the words wn and those of column, row by row of its table."""
-    cell = f"list_append(acc, least(acc[len(acc)] + 1, before[j[1] + 1] + 1, before[j[1]] + CASE WHEN wn[i[1]] = {column}[j[1]] THEN 0 ELSE 1 END))"
-    row = f"list_reduce(list_transform(range(1, len({column}) + 1), lambda j: [j]), lambda acc, j: {cell}, [before[1] + 1])"
-    return f"(list_reduce(list_transform(range(1, len(wn) + 1), lambda i: [i]), lambda before, i: {row}, list_transform(range(0, len({column}) + 1), lambda v: v)))[-1]"
-
-
 ORACLE = {
     "k01_kyc": _o("SELECT application_id, kyc_cdd AS kyc_status, concat_ws(',', CASE WHEN NOT (aadhaar_present AND aadhaar_valid) THEN 'AADHAAR' END, CASE WHEN NOT (address_present AND address_readable) THEN 'ADDRESS_PROOF' END, CASE WHEN NOT (pan_present AND pan_doc_valid) THEN 'PAN' END) AS missing_documents FROM comp"),
     "k02_identity": _o(f"SELECT application_id, split_part(f, '|', 1) AS code, split_part(f, '|', 2) AS severity, split_part(f, '|', 3) AS message FROM ({_FLAGS}) WHERE starts_with(f, 'IDENTITY')"),
@@ -166,7 +159,7 @@ ORACLE = {
     "k13_explanation": _o("SELECT application_id, CASE WHEN len(critical_flags) > 0 THEN concat('Compliance review identified critical issue(s) requiring human review: ', array_to_string(critical_flags, '; '), '.') ELSE 'All compliance checks passed; no critical issues identified.' END AS explanation FROM comp"),
     "f02_token_sort_ratio": oracle("SELECT application_id, " + ", ".join(f"round({ratio(k)}, 6) AS {column}" for _, column, k in _SOURCES[:3]) + f" FROM (SELECT *, {_WORDS} FROM case_inputs)", "case_inputs"),
     "f04_word_edits": oracle(
-        f"SELECT application_id, {_word_edits('wp')} AS pan_edits, {_word_edits('wa')} AS aadhaar_edits FROM (SELECT application_id, " + ", ".join(f"[w for w in string_split(lower({c}), ' ') if w <> ''] AS {n}" for c, n in (("name", "wn"), ("pan_card_name", "wp"), ("aadhaar_name", "wa"))) + " FROM case_inputs WHERE pan_card_name IS NOT NULL AND aadhaar_name IS NOT NULL)",
+        f"SELECT application_id, {edits('wn', 'wp')} AS pan_edits, {edits('wn', 'wa')} AS aadhaar_edits FROM (SELECT application_id, " + ", ".join(f"[w for w in string_split(lower({c}), ' ') if w <> ''] AS {n}" for c, n in (("name", "wn"), ("pan_card_name", "wp"), ("aadhaar_name", "wa"))) + " FROM case_inputs WHERE pan_card_name IS NOT NULL AND aadhaar_name IS NOT NULL)",
         "case_inputs",
     ),
 }

@@ -33,3 +33,10 @@ def name_similarity(source: str, a: str, b: str) -> str:
     score = r(f"least(1, 0.7::DOUBLE * (len(list_intersect(p, q)) + 0.5::DOUBLE * {initials}) / greatest(len(p), len(q)) + 0.3::DOUBLE * ({prefix} + least(length(x), length(y))) / (length(x) + length(y)))", 3)
     return f"""SELECT *, CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 0 WHEN x = y THEN 1 WHEN len(p) = 0 OR len(q) = 0 THEN 0 ELSE {score} END AS similarity FROM (
  SELECT *, {words.format("x")} AS p, {words.format("y")} AS q FROM (SELECT *, {clean.format(a)} AS x, {clean.format(b)} AS y FROM ({source})))"""
+
+
+def edits(p: str, q: str) -> str:
+    """Edit distance of two lists of texts, row by row of its table."""
+    cell = f"list_append(acc, least(acc[len(acc)] + 1, before[j[1] + 1] + 1, before[j[1]] + CASE WHEN {p}[i[1]] = {q}[j[1]] THEN 0 ELSE 1 END))"
+    row = f"list_reduce(list_transform(range(1, len({q}) + 1), lambda j: [j]), lambda acc, j: {cell}, [before[1] + 1])"
+    return f"(list_reduce(list_transform(range(1, len({p}) + 1), lambda i: [i]), lambda before, i: {row}, list_transform(range(0, len({q}) + 1), lambda v: v)))[-1]"
