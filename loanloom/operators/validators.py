@@ -11,25 +11,42 @@ YOUNGEST, OLDEST = 21, 65
 
 
 def pan_checks(df: DataFrame, pan: str, name: str) -> DataFrame:
-    """pan_valid, and for valid numbers whether the holder is no individual and whether the fifth
-    letter differs from the surname's. A null number is not valid; a null name gives no surname warning."""
+    """pan_valid, for valid numbers whether the holder is no individual and, for individuals, whether the fifth
+    letter differs from the surname's, and the severity: ERROR, WARNING or INFO. A null number is not valid; a null
+    name gives no surname warning."""
     number = F.upper(F.regexp_replace(pan, " ", ""))
     valid = F.coalesce(number.rlike(PAN), F.lit(False))
     surname = F.upper(F.substring(F.element_at(F.split(F.trim(name), " +"), -1), 1, 1))
-    return df.withColumns({
+    person = F.substring(number, 4, 1) == "P"
+    df = df.withColumns({
         "pan_valid": valid,
-        "pan_not_individual": valid & (F.substring(number, 4, 1) != "P"),
-        "pan_other_surname": valid & F.coalesce(F.substring(number, 5, 1) != surname, F.lit(False)),
+        "pan_not_individual": valid & ~person,
+        "pan_other_surname": valid & person & F.coalesce(F.substring(number, 5, 1) != surname, F.lit(False)),
     })
+    return df.withColumn("severity", F.when(~F.col("pan_valid"), "ERROR").when(F.col("pan_not_individual") | F.col("pan_other_surname"), "WARNING").otherwise("INFO"))
 
 
-def age(born: Column, as_of: str) -> Column:
-    """Complete years from an ISO date text to as_of; null where it is no date."""
-    return F.floor(F.months_between(F.lit(as_of).cast("date"), born.try_cast("date")) / 12).cast("int")
+#: Formats of a birth date; a bare year counts too.
+BORN = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d/M/yy")
 
 
-def age_allowed(years: Column) -> Column:
-    return F.coalesce(years.between(YOUNGEST, OLDEST), F.lit(False))
+def _born(text: Column) -> Column:
+    return F.coalesce(*[F.try_to_date(F.trim(text), f) for f in BORN])
+
+
+def _year(text: Column) -> Column:
+    return F.when(F.trim(text).rlike("^[0-9]{4}$"), F.trim(text).cast("int"))
+
+
+def age(text: Column, as_of: str) -> Column:
+    """Complete years from a date text to as_of, or from a bare year; null where it is neither."""
+    today = F.lit(as_of).cast("date")
+    return F.coalesce(F.floor(F.months_between(today, _born(text)) / 12), F.year(today) - _year(text)).cast("int")
+
+
+def age_allowed(text: Column, as_of: str) -> Column:
+    """Whether the age is within the limits; a bare year is taken as it is."""
+    return F.coalesce(F.when(_born(text).isNotNull(), age(text, as_of).between(YOUNGEST, OLDEST)), _year(text).isNotNull(), F.lit(False))
 
 
 def latest_decision(cases: DataFrame, log: DataFrame) -> DataFrame:

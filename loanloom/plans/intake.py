@@ -9,18 +9,6 @@ from loanloom.operators import validators
 from loanloom.sources import listing_table
 from loanloom.streaming import decisions
 
-AS_OF = "2024-06-30"
-
-
-def v01_pan_format(spark, sf_dir):
-    found = validators.pan_checks(view(spark, sf_dir, "case_inputs"), "card_pan", "name")
-    return found.select("application_id", "pan_valid", "pan_not_individual", "pan_other_surname")
-
-
-def v07_applicant_age(spark, sf_dir):
-    years = validators.age(F.col("form_dob"), AS_OF)
-    return view(spark, sf_dir, "case_inputs").select("application_id", years.alias("age"), validators.age_allowed(years).alias("age_allowed"))
-
 
 def j14_latest_decision(spark, sf_dir):
     return validators.latest_decision(view(spark, sf_dir, "applications"), view(spark, sf_dir, "audit_log"))
@@ -38,21 +26,9 @@ def x01_decision_windows(spark, sf_dir):
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
-QUERIES = {f.__name__: f for f in (v01_pan_format, v07_applicant_age, j14_latest_decision, s09_new_listings, x01_decision_windows)}
+QUERIES = {f.__name__: f for f in (j14_latest_decision, s09_new_listings, x01_decision_windows)}
 
-_PAN = "coalesce(regexp_matches(pan, '^[A-Z]{3}[PCHFATBLJG][A-Z][0-9]{4}[A-Z]$'), false)"
 ORACLE = {
-    "v01_pan_format": oracle(
-        f"""SELECT application_id, {_PAN} AS pan_valid, {_PAN} AND pan[4] <> 'P' AS pan_not_individual,
- {_PAN} AND coalesce(pan[5] <> upper(split_part(name, ' ', 2)[1]), false) AS pan_other_surname
-FROM (SELECT *, upper(replace(card_pan, ' ', '')) AS pan FROM case_inputs)""",
-        "case_inputs",
-    ),
-    "v07_applicant_age": oracle(
-        f"""SELECT application_id, CAST(age AS INT) AS age, coalesce(age BETWEEN 21 AND 65, false) AS age_allowed
-FROM (SELECT application_id, date_sub('year', TRY_CAST(form_dob AS DATE), DATE '{AS_OF}') AS age FROM case_inputs)""",
-        "case_inputs",
-    ),
     "j14_latest_decision": oracle(
         """SELECT a.application_id, l.latest_decision, coalesce(l.n_audited, 0) AS n_audited FROM applications a
 LEFT JOIN (SELECT application_id, arg_max(decision, seq) AS latest_decision, count(*) AS n_audited FROM audit_log GROUP BY 1) l ON l.application_id = a.application_id""",
