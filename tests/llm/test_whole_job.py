@@ -75,8 +75,10 @@ def test_pipeline_decodes_what_it_encodes(spark, monkeypatch):
     got = corpus_pipeline.tokens(spark, table, "")
     assert got.columns == ["doc_id", "n_tokens", "ids"] and got.schema["doc_id"].dataType.simpleString() == "bigint"
     want = sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in byte_bpe.encode(table).collect())
+    chained = sorted((r["doc_id"] or 0, bytes(r["ids"]), r["text"]) for r in byte_bpe.decode(byte_bpe.encode(table)).collect())
+    assert chained == sorted((r["doc_id"] or 0, bytes(r["ids"]), r["text"]) for r in byte_bpe.round_trip(table).collect())
     assert sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in got.collect()) == want
-    decode = byte_bpe.decode
-    monkeypatch.setattr(byte_bpe, "decode", lambda x: decode(x).withColumn("text", F.concat("text", F.lit("x"))))
+    both = byte_bpe.round_trip
+    monkeypatch.setattr(byte_bpe, "round_trip", lambda x: both(x).withColumn("text", F.concat("text", F.lit("x"))))
     with pytest.raises(Exception, match="decoded text differs"):
         corpus_pipeline.tokens(spark, table, "").collect()
