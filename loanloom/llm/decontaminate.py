@@ -1,18 +1,20 @@
 """Benchmark decontamination with spaced seeds.
 
-Words are lower-cased runs of letters and digits. A seed is a fixed mask over word positions: the hash of
+Words are lower-cased runs of letters and digits (of any script; curly quotes, dashes and the like end a word). A seed is a fixed mask over word positions: the hash of
 the words at its ones, whatever stands at its zeros. The seeds of all places of the benchmark are held as a
 sorted array with a bitmap in front; every place of every document is looked up. Around each hit the document
 and the item are compared word by word along the hit's diagonal, and the best stretch counts (a match
 scores 1, a substitution -SUBSTITUTION): the document is contaminated by the item when that stretch
 holds at least min_matched equal words, or share_of_item of a shorter item.
 
-How it scales: one pass over the documents, no shuffle. The benchmark is taken in chunks of CHUNK items
-(by the order of a hash), each sent to the executors by itself, so memory is bounded however long it is.
+How it scales: one pass over the documents, no shuffle. The benchmark is taken in chunks of about CHUNK items
+and CHUNK_BYTES of text (by a hash), each sent to the executors by itself, so memory is bounded however long it
+is; each chunk is one more pass. Within a block of texts, places that give a hit on one diagonal count once.
 
 Defined results: null or empty texts and items match nothing. Of several stretches of one item in a
 document the one with most equal words counts, the first on a tie. Items of fewer words than the shortest
-mask spans, or as many, have runs of as many words as they need for seeds. Repeated items count once for each item_id; repeated rows of docs stay repeated.
+mask spans, or as many, have runs of as many words as they need for seeds. Repeated items count once for each item_id; repeated rows of docs stay repeated. item_id keeps its type. An empty
+table of documents or items gives no row.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loanloom.llm import textbatch
 from loanloom.llm.cluster import mapped, only
@@ -35,17 +39,30 @@ SHORTEST = min(map(len, MASKS))
 SUBSTITUTION = 3
 MIN_MATCHED = 10
 SHARE_OF_ITEM = 0.8
-#: Benchmark items that one pass looks for.
+#: Benchmark items, and bytes of their texts, that one pass looks for.
 CHUNK = 20_000
+CHUNK_BYTES = 16 << 20
 _BITS = 22
 
 
+def folded(column: pa.Array) -> pa.Array:
+    """Texts in lower case, with a space for whatever isn't a letter, mark, number or space. ASCII texts stay as
+    they are: the hashes of words fold those."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    plain = pc.fill_null(pc.string_is_ascii(column), True) if len(column) else pa.array([], pa.bool_())
+    if pc.all(plain).as_py() in (True, None):
+        return column
+    other = pc.replace_substring_regex(pc.utf8_lower(column), r"[^\p{L}\p{M}\p{N}\s]+", " ")
+    return pc.if_else(plain, column, other)
+
+
 class SeedIndex:
     """The seeds of a bounded set of items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], min_matched: int, share: float):
+    def __init__(self, ids: list, texts: list[str | None], min_matched: int, share: float):
         hashes, first = [], [0]
-        for _, data, offsets in textbatch.blocks(pa.array(texts, pa.large_string())):
+        for _, data, offsets in textbatch.blocks(folded(pa.array(texts, pa.large_string()))):
             h, f = textbatch.word_hashes(data, offsets, gap=textbatch.PUNCTUATION)
             hashes.append(h)
             first.extend((f[1:] + first[-1]).tolist())
@@ -91,7 +108,8 @@ class SeedIndex:
             low, high = np.searchsorted(self.seeds, seed[at]), np.searchsorted(self.seeds, seed[at], "right")
             while (more := low < high).any():
                 at, text, low, high = at[more], text[more], low[more], high[more]
-                found.update(zip(text.tolist(), self.items[low].tolist(), (at - first[text] - self.places[low]).tolist(), strict=True))
+                diagonals = np.unique(np.stack([text, self.items[low], at - first[text] - self.places[low]]), axis=1)
+                found.update(map(tuple, diagonals.T.tolist()))
                 low = low + 1
         return found
 
@@ -114,15 +132,16 @@ class SeedIndex:
 def indexes(benchmark: DataFrame, min_matched: int, share: float) -> Iterator[SeedIndex]:
     """Seed indexes of chunks of the benchmark."""
     items = only(benchmark, "item_id", "text").where("text is not null")
-    chunks = max(1, -(-items.count() // CHUNK))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    chunks = max(1, -(-size["n"] // CHUNK), -(-size["bytes"] // CHUNK_BYTES))
     for k in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k).collect() if chunks > 1 else items.collect()
         yield SeedIndex([r["item_id"] for r in rows], [r["text"] for r in rows], min_matched, share)
 
 
-def _found(index: SeedIndex, column: pa.Array, min_matched: int, share: float) -> Iterator[tuple[int, int, int, int, int]]:
+def _found(index: SeedIndex, column: pa.Array, min_matched: int, share: float) -> Iterator[tuple[int, object, int, int, int]]:
     """(row, item, equal words, start, end) for each contaminated row and item."""
-    for row, data, offsets in textbatch.blocks(column):
+    for row, data, offsets in textbatch.blocks(folded(column)):
         words, first = textbatch.word_hashes(data, offsets, gap=textbatch.PUNCTUATION)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for text, item, shift in index.hits(words, first):
@@ -138,7 +157,9 @@ def _found(index: SeedIndex, column: pa.Array, min_matched: int, share: float) -
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCHED, share_of_item: float = SHARE_OF_ITEM) -> DataFrame:
     """doc_id, item_id, n_matched, start_word, end_word (exclusive) of each contaminated document and item."""
     source = only(docs, "doc_id", "text")
-    schema = source.schema.fields[0].simpleString().replace(":", " ") + ", item_id long, n_matched long, start_word long, end_word long"
+    of = lambda field: field.simpleString().replace(":", " ")
+    schema = f"{of(source.schema['doc_id'])}, {of(benchmark.schema['item_id'])}, n_matched long, start_word long, end_word long"
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for index in indexes(benchmark, min_matched, share_of_item):
         sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -146,7 +167,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCH
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [*_found(sent.value, batch.column(1), min_matched, share_of_item)]
-                rows = [pa.array([x[k] for x in found], pa.int64()) for k in range(5)]
+                rows = [pa.array([x[k] for x in found], kind if k == 1 else pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows[0]), *rows[1:]], ["doc_id", "item_id", "n_matched", "start_word", "end_word"])
 
         part = mapped(source, run, schema)
