@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -227,6 +228,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(_make(spark, sf_dir, name) + name)
 
 
+def once(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """make, building its DataFrame once for a session and folder. Nothing is computed or held but the plan."""
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId + str(id(spark._jsparkSession)), f"{make.__module__}.{make.__name__} {sf_dir}")
+        if key not in _made:
+            _made[key] = make(spark, sf_dir)
+        return _made[key]
+
+    return get
+
+
 def query(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """The rows of sql over the named fixture views and tables."""
     for name in names:

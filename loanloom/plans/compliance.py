@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanloom.fixtures import oracle, view
+from loanloom.fixtures import once, oracle, view
 from loanloom.functions.columns import joined
 from loanloom.functions.names import edit_distance, token_sort_ratio
 from loanloom.operators import compliance as x
 from loanloom.plans.sql import edits, r, sorted_words, subsequence
 
 
+@once
 def checked(spark, sf_dir):
     return x.checked(view(spark, sf_dir, "case_inputs"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanloom.fixtures import oracle, view
+from loanloom.fixtures import once, oracle, view
 from loanloom.operators import credit
 from loanloom.plans.sql import r
 
@@ -37,6 +37,7 @@ FROM (SELECT *, CASE WHEN usable THEN {r("obligations / monthly_income", 4)} END
     {r(f"credit_card_outstanding_total * {D(0.05)}", 2)} AS card_emi FROM (SELECT * REPLACE (CASE WHEN monthly_income > 0 AND loan_amount > 0 AND loan_tenure_months > 0 THEN cibil_score END AS cibil_score), monthly_income > 0 AND loan_amount > 0 AND loan_tenure_months > 0 AS usable FROM applications))))"""
 
 
+@once
 def assessed(spark, sf_dir):
     return credit.assess(view(spark, sf_dir, "applications"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanloom.fixtures import oracle, view
+from loanloom.fixtures import once, oracle, view
 from loanloom.functions.columns import joined
 from loanloom.operators import decision, monitoring, reports
 from loanloom.plans.compliance import COMPLIANCE_SQL
@@ -18,12 +18,19 @@ def cases(s, d):
     return assessed(s, d), view(s, d, "case_inputs")
 
 
+@once
+def evaluated(s, d):
+    return decision.evaluated(*cases(s, d))
+
+
+@once
 def decided(s, d):
-    return decision.decided(*cases(s, d))
+    return decision.finalised(evaluated(s, d))
 
 
+@once
 def staged(s, d):
-    return decision.full_stage(*cases(s, d))
+    return decision.finalised(decision.recommended(evaluated(s, d)), F.col("roles_disagree"))
 
 
 def v09_validation(s, d):
@@ -38,15 +45,15 @@ def j11_contradictions(s, d):
 
 def a57_risk_components(s, d):
     lists = [F.array_join(x, "; ").alias(x) for x in ("positive_factors", "risk_factors")]
-    return decision.evaluated(*cases(s, d)).select("application_id", *PARTS, "decision_score", *lists)
+    return evaluated(s, d).select("application_id", *PARTS, "decision_score", *lists)
 
 
 def a58_decision_confidence(s, d):
-    return decision.evaluated(*cases(s, d)).select("application_id", F.round("completeness", 3).alias("completeness"), "n_high", "material", F.col("stated_confidence").alias("confidence"))
+    return evaluated(s, d).select("application_id", F.round("completeness", 3).alias("completeness"), "n_high", "material", F.col("stated_confidence").alias("confidence"))
 
 
 def a59_roles(s, d):
-    return decision.recommended(decision.evaluated(*cases(s, d))).select(
+    return decision.recommended(evaluated(s, d)).select(
         "application_id", "underwriter", "analyst", "report_writer", "underwriter_confidence", "analyst_confidence", "report_writer_confidence", "analyst_reasoning", "roles_disagree"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanloom.fixtures import oracle, view
+from loanloom.fixtures import once, oracle, view
 from loanloom.operators import documents as x
 from loanloom.operators import ingestion
 from loanloom.plans.sql import edits, r
@@ -46,6 +46,7 @@ def d09_statement_summary(s, d):
     return x.statement_summary(x.transactions(texts(s, d, "BANK_STATEMENT")))
 
 
+@once
 def slips(s, d):
     return x.fields(texts(s, d, "SALARY_SLIP"), "SALARY_SLIP")
 
@@ -78,6 +79,7 @@ def v06_years(s, d):
     return found.select("application_id", x.years_agree(F.col("assessment_year"), F.col("financial_year")).alias("years_agree"))
 
 
+@once
 def classes(s, d):
     return x.classified(view(s, d, "doc_texts")).select(F.when(F.col("true_type") == "OTHER", "UNKNOWN").otherwise(F.col("true_type")).alias("actual"), F.col("doc_class").alias("predicted"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loanloom import config
-from loanloom.fixtures import oracle, view
+from loanloom.fixtures import once, oracle, view
 from loanloom.operators import listings as x
 from loanloom.plans.sql import r
 
@@ -51,14 +51,17 @@ def _kind(x):
 _COMP = f"SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY quality DESC, abs(coalesce(l_area, s_area) - s_area), listing_id) AS k FROM (SELECT s.application_id, l.listing_id, s.area_sqft AS s_area, l.area_sqft AS l_area, price_per_sqft, quality FROM subjects s JOIN scored l ON lower(s.city) = lower(l.city) AND lower(trim(s.locality)) = lower(trim(l.locality)) AND {_kind('s.property_type')} = {_kind('l.property_type')} AND (s.bhk IS NULL OR l.bedrooms IS NULL OR s.bhk = l.bedrooms) AND (s.area_sqft IS NULL OR l.area_sqft IS NULL OR l.area_sqft BETWEEN 0.8::DOUBLE * s.area_sqft AND 1.2::DOUBLE * s.area_sqft) WHERE transaction_type = 'Sale' AND price_inr > 0 AND price_per_sqft IS NOT NULL AND quality >= 40)"
 
 
+@once
 def clean(s, d):
     return x.cleaned(view(s, d, "raw_listings"))
 
 
+@once
 def scored(s, d):
     return x.scored(clean(s, d))
 
 
+@once
 def chosen(s, d):
     """The listings of one source stand for a live feed."""
     live = F.col("source") == "square_yards"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanloom.fixtures import oracle, view
+from loanloom.fixtures import once, oracle, view
 from loanloom.operators import monitoring as m
 from loanloom.plans.credit import CREDIT_SQL, assessed
 from loanloom.plans.sql import r, values
@@ -14,6 +14,7 @@ EDGES = (90.0, 80.0, 70.0, 60.0, 50.0, 40.0)
 LABELS = ("APPROVE", "DENY", "SUSPEND")
 
 
+@once
 def cases(spark, sf_dir):
     """Credit decisions as predictions, a rule on score and loan-to-value as the truth."""
     c = F.col
@@ -31,6 +32,7 @@ def baseline():
     return F.col("created_at") < F.lit("2000-01-01").cast("timestamp")
 
 
+@once
 def reviewed(s, d):
     """Assessed applications with what reviewers corrected."""
     fields = F.when(F.col("overridden_fields") == "", F.array().cast("array<string>")).otherwise(F.split("overridden_fields", ","))

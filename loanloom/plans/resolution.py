@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanloom.fixtures import oracle, view
+from loanloom.fixtures import once, oracle, view
 from loanloom.operators import matching, reconcile
 from loanloom.plans.listings import CLEAN_SQL, clean
 from loanloom.plans.sql import name_similarity, r
@@ -55,6 +55,7 @@ def t04_largest_source(spark, sf_dir):
     return matching.largest_source(clean(spark, sf_dir))
 
 
+@once
 def pairs(spark, sf_dir):
     return reconcile.name_pairs(view(spark, sf_dir, "named_documents"))
 
@@ -79,6 +80,7 @@ def a54_reconciliation(spark, sf_dir):
     return reconcile.reconciliation(pairs(spark, sf_dir), checks(spark, sf_dir).select("application_id", "n_other"))
 
 
+@once
 def trusted(spark, sf_dir):
     return reconcile.ingestion_confidence(checks(spark, sf_dir).join(a54_reconciliation(spark, sf_dir), "application_id"))
 
@@ -91,6 +93,7 @@ def a55_ingestion_confidence(spark, sf_dir):
     return trusted(spark, sf_dir).select("application_id", "ocr_quality", F.round("field_validation", 3).alias("field_validation"), "reconciliation_score", "completeness", "overall_confidence", "confidence_level")
 
 
+@once
 def routed(spark, sf_dir):
     return reconcile.review_routing(trusted(spark, sf_dir))
 
