@@ -120,6 +120,15 @@ SELECT p_partkey AS listing_id,
   CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size % 4 AS INT) END AS property_age, CASE WHEN p_partkey % 8 = 0 THEN CAST(p_size % 3 AS INT) END AS parking,
   CASE WHEN p_partkey % 9 = 0 THEN '560001' END AS pincode, CASE WHEN p_partkey % 77 = 0 THEN NULL ELSE CAST(p_partkey % 200 AS INT) END AS listing_age_days
 FROM part
+""",
+    "listing_pages": """
+SELECT page_id, concat(CASE page_id % 6 WHEN 0 THEN 'https://x.example/flat-npd-' WHEN 1 THEN 'https://x.example/property-card/' WHEN 2 THEN 'https://x.example/projects/flat-npd-' ELSE url END, CAST(page_id AS STRING)) AS url,
+  concat(html, CASE WHEN page_id % 3 = 0 THEN concat('<script type="application/ld+json">{"offers": {"price": ', CAST(4000000 + page_id AS STRING), '}, "address": {"addressLocality": "Lake View", "postalCode": "560066"}}</script>') ELSE '' END,
+    CASE WHEN page_id % 4 = 0 THEN concat('<script id="__NEXT_DATA__" type="application/json">{"address": {"addressLocality": "Hill ', CAST(page_id % 9 AS STRING), '"}}</script>') ELSE '' END,
+    CASE WHEN page_id % 2 = 0 THEN concat('<div>', CAST(1 + page_id % 4 AS STRING), ' BHK flat of <b>1,', CAST(100 + page_id % 800 AS STRING), '</b> sq.ft. at ₹1.', CAST(page_id % 9 AS STRING), ' Cr, 2 Bath, ', CASE page_id % 5 WHEN 0 THEN 'Semi-Furnished' WHEN 2 THEN 'Unfurnished' ELSE 'Furnished' END, ' furnished, Floor: ', CAST(page_id % 12 AS STRING), ', Total Floors: 14, Property Age: ', CAST(page_id % 20 AS STRING), ', 1 Car Parking, PIN 560', CAST(100 + page_id % 800 AS STRING), '</div>') ELSE '' END,
+    CASE WHEN page_id % 7 = 0 THEN concat(chr(10), 'PRM/KA/RERA/1251/446/PR/1710', CAST(page_id % 10 AS STRING), '/00', CAST(page_id AS STRING), chr(10), 'Project Name: Lake Park', chr(10), 'Builder: Acme Homes', chr(10), 'Total Units: ', CAST(page_id % 300 AS STRING), chr(10), 'Completion Date: 2025-06-30', chr(10)) ELSE '' END,
+    CASE WHEN page_id % 11 = 0 THEN '<p>Access Denied</p>' WHEN page_id % 13 = 0 THEN '<p>please solve the CAPTCHA</p>' ELSE '' END) AS html
+FROM pages
 """,
     "subjects": """
 SELECT o_orderkey AS application_id,

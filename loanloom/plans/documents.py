@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loanloom.fixtures import once, oracle, view
+from loanloom.functions.lineage import cut
 from loanloom.operators import documents as x
-from loanloom.operators import ingestion
+from loanloom.operators import ingestion, pages, profiles
 from loanloom.plans.sql import edits, r
 
 AS_OF = "2024-06-30"
@@ -116,13 +117,41 @@ def a40_text_errors(s, d):
     return ingestion.text_errors(pairs.withColumn("source", F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd")), "reference", "predicted", "source")
 
 
+@once
+def stored(s, d):
+    """Classified documents as a table of their own: six branches read it, none should classify again."""
+    return cut(x.classified(view(s, d, "doc_texts")).select("application_id", "filename", "text", "doc_class"))
+
+
+def d13_profiles(s, d):
+    found = profiles.profiles(stored(s, d))
+    return found.select("application_id", "primary_name", "pan_number", "aadhaar_number", "monthly_gross", "monthly_net", "n_slips", "property_city", "verification_status", "n_missing", "flags")
+
+
+def k10_compliance_input(s, d):
+    found = profiles.profiles(stored(s, d))
+    return found.select("application_id", "pan_present", "aadhaar_present", "address_present", "source_of_funds_declared", "identity_verification_logged")
+
+
+def d15_structured(s, d):
+    return pages.structured(view(s, d, "listing_pages"))
+
+
+def d16_attributes(s, d):
+    return pages.attributes(view(s, d, "listing_pages"))
+
+
+def d17_projects(s, d):
+    return pages.projects(view(s, d, "listing_pages"))
+
+
 QUERIES = {
     "d02_pan_card": _fields("PAN_CARD"), "d03_aadhaar": _fields("AADHAAR_CARD"), "d05_form_16": _fields("FORM_16"), "d06_itr": _fields("ITR"), "d07_bank_statement": _fields("BANK_STATEMENT"), "d10_property_deed": _fields("PROPERTY_DEED"),
     "d07_field_coverage": coverage,
 } | {
     f.__name__: f
     for f in (d01_classified, t03_class_counts, d04_salary_slip, d08_transactions, d09_statement_summary, d11_overridden, d12_bundles, w08_first_slip, v05_recency, v06_years,
-              a32_class_report, a32_class_summary, a33_class_cost, a39_field_quality, a40_text_errors)
+              a32_class_report, a32_class_summary, a33_class_cost, a39_field_quality, a40_text_errors, d13_profiles, k10_compliance_input, d15_structured, d16_attributes, d17_projects)
 }
 
 
@@ -213,7 +242,28 @@ _W = "[w for w in string_split_regex(regexp_replace(lower(coalesce({}, '')), '[^
 _F1 = r("CASE WHEN len(p) + len(q) = 0 THEN 1 ELSE 2.0::DOUBLE * coalesce(list_sum([least(len([w for w in p if w = t]), len([w for w in q if w = t])) for t in list_distinct(q)]), 0) / (len(p) + len(q)) END", 4)
 _SPLIT = "[w for w in string_split_regex(trim({}), '\\s+') if w <> '']"
 _TURNS = "SELECT conv_id, arg_min(t, turn) AS a, arg_max(t, turn) AS b FROM (SELECT conv_id, turn, substring(coalesce(text, ''), 1, 60) AS t FROM conversations_of WHERE turn <= 1) GROUP BY 1"
+def _last(kind, fields):
+    columns = ", ".join(f"arg_max({n}, filename) AS {n}" for n in fields)
+    typed = ", ".join(f"{_columns(kind)[n]} AS {n}" for n in fields)
+    return f"SELECT application_id, {columns}, count(*) AS k FROM (SELECT application_id, filename, {typed} FROM (SELECT *, coalesce(text, '') AS t FROM classified WHERE doc_class = '{kind}')) GROUP BY 1"
+
+
+_PROFILES = f"""SELECT n.application_id, coalesce(p.full_name, a.full_name, s.slip_name, 'Applicant') AS primary_name, p.pan_number, replace(a.aadhaar_number, ' ', '-') AS aadhaar_number, {r("coalesce(s.gross, f.gross_salary / 12.0::DOUBLE, 0)", 2)} AS monthly_gross, {r("coalesce(s.net, 0)", 2)} AS monthly_net, coalesce(s.n_slips, 0) AS n_slips, d.city AS property_city, 'verified' AS verification_status,
+ CAST(p.pan_number IS NULL AS INT) + CAST(a.aadhaar_number IS NULL AS INT) + CAST(s.n_slips IS NULL AND f.gross_salary IS NULL AS INT) + CAST(b.account_number IS NULL AS INT) + CAST(d.property_address IS NULL AS INT) AS n_missing,
+ p.pan_number IS NOT NULL AS pan_present, a.aadhaar_number IS NOT NULL AS aadhaar_present, a.address IS NOT NULL AS address_present, s.n_slips IS NOT NULL OR f.gross_salary IS NOT NULL OR b.account_number IS NOT NULL AS source_of_funds_declared
+FROM (SELECT DISTINCT application_id FROM classified) n LEFT JOIN ({_last("PAN_CARD", ("full_name", "pan_number"))}) p ON p.application_id = n.application_id LEFT JOIN ({_last("AADHAAR_CARD", ("full_name", "aadhaar_number", "address"))}) a ON a.application_id = n.application_id
+ LEFT JOIN ({_last("FORM_16", ("gross_salary",))}) f ON f.application_id = n.application_id LEFT JOIN ({_last("BANK_STATEMENT", ("account_number",))}) b ON b.application_id = n.application_id LEFT JOIN (SELECT application_id, arg_max(city, filename) AS city, arg_max(property_address, filename) AS property_address FROM (SELECT application_id, filename, {_CITY} AS city, {_first(x.TEXTS["PROPERTY_DEED"]["property_address"])} AS property_address FROM (SELECT *, coalesce(text, '') AS t FROM classified WHERE doc_class = 'PROPERTY_DEED')) GROUP BY 1) d ON d.application_id = n.application_id
+ LEFT JOIN (SELECT application_id, count(*) AS n_slips, min({_columns("SALARY_SLIP")["employee_name"]}) AS slip_name, avg({_G}) AS gross, avg({_N}) AS net FROM (SELECT *, coalesce(text, '') AS t FROM classified WHERE doc_class = 'SALARY_SLIP') GROUP BY 1) s ON s.application_id = n.application_id"""
+_TEXT = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+_LD = f"regexp_extract_all(html, {q(pages.BLOCKS[0])}, 1)"
+_NEXT = f"regexp_extract_all(html, {q(pages.BLOCKS[1])}, 1)"
+_PRICE = f"lower(replace(regexp_extract(t, {q(pages.CONFIGURATION)}, 3), '₹', ''))"
 ORACLE = {
+    "d13_profiles": _o(f"SELECT application_id, primary_name, pan_number, aadhaar_number, monthly_gross, monthly_net, n_slips, property_city, verification_status, n_missing, concat_ws(',', CASE WHEN n_missing > 0 THEN 'missing_documents' END, CASE WHEN NOT (pan_present AND aadhaar_present) THEN 'incomplete_kyc' END) AS flags FROM ({_PROFILES})"),
+    "k10_compliance_input": _o(f"SELECT application_id, pan_present, aadhaar_present, address_present, source_of_funds_declared, pan_present AND aadhaar_present AS identity_verification_logged FROM ({_PROFILES})"),
+    "d15_structured": oracle(f"SELECT page_id, len(b) AS n_blocks, " + ", ".join(f"list_filter([json_extract_string(j, '{p}') for j in b], lambda v: v IS NOT NULL)[-1] AS {n}" for n, p in pages.PATHS.items()) + f" FROM (SELECT page_id, list_concat({_LD}, {_NEXT}) AS b FROM listing_pages)", "listing_pages"),
+    "d16_attributes": oracle(f"SELECT page_id, TRY_CAST(regexp_extract(t, {q(pages.CONFIGURATION)}, 1) AS INT) AS bedrooms, TRY_CAST(replace(regexp_extract(t, {q(pages.CONFIGURATION)}, 2), ',', '') AS DOUBLE) AS area_sqft, TRY_CAST(regexp_extract({_PRICE}, '[0-9.]+') AS DOUBLE) * 10000000 AS price_inr, nullif(regexp_extract(t, {q(pages.PIN)}, 1), '') AS pincode, CASE WHEN regexp_matches(t, '\\b[Ff]urnished\\b') THEN CASE WHEN regexp_matches(t, '\\b[Ss]emi[-\\s]?[Ff]urnished\\b') THEN 'Semi-Furnished' WHEN regexp_matches(t, '\\b[Uu]nfurnished\\b') THEN 'Unfurnished' ELSE 'Furnished' END END AS furnishing, " + ", ".join(f"TRY_CAST(regexp_extract(t, {q(p)}, 1) AS INT) AS {n}" for n, p in pages.ATTRIBUTES.items()) + f" FROM (SELECT page_id, {_TEXT} AS t FROM listing_pages)", "listing_pages"),
+    "d17_projects": oracle(f"SELECT page_id, regexp_extract(html, {q(pages.PROJECT)}) AS rera_number, " + ", ".join((f"TRY_CAST(regexp_extract(html, {q(p)}, 1) AS INT)" if n in ("total_units", "area_sqft") else f"nullif(trim(regexp_extract(html, {q(p)}, 1)), '')") + f" AS {n}" for n, p in pages.PROJECT_FIELDS.items()) + f" FROM listing_pages WHERE regexp_matches(html, {q(pages.PROJECT)})", "listing_pages"),
     "d01_classified": _o("SELECT application_id, true_type, doc_class, class_confidence FROM classified"),
     "t03_class_counts": _o("SELECT true_type, doc_class, count(*) AS n FROM classified GROUP BY 1, 2"),
     "d02_pan_card": _o(_typed("PAN_CARD", {"entity_type": f"CASE WHEN {_first(x.TEXTS['PAN_CARD']['pan_number'])} IS NULL THEN 'Individual' ELSE {_ENTITY} END"})),

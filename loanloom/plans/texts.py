@@ -54,11 +54,11 @@ def l08_city(spark, sf_dir):
 
 
 def d18_property_pages(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", texts.is_property_page(F.col("url")).alias("property_page"))
+    return view(spark, sf_dir, "listing_pages").select("page_id", texts.is_property_page(F.col("url")).alias("property_page"))
 
 
 def l27_refused_pages(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", texts.is_refused_page(F.col("html")).alias("refused"))
+    return view(spark, sf_dir, "listing_pages").select("page_id", texts.is_refused_page(F.col("html")).alias("refused"))
 
 
 def j12_compared(spark, sf_dir):
@@ -130,8 +130,8 @@ ORACLE = {
     "v03_branch_code": _n(f"SELECT application_id, coalesce(regexp_matches(upper(trim(branch_code)), '{texts.BRANCH}'), false) AS valid FROM numbers"),
     "v04_salary_arithmetic": oracle(f"SELECT *, abs(gross - deductions - net) <= 2 AS adds_up FROM (SELECT application_id, {_amount('Gross Salary')} AS gross, {_amount('Total Deductions')} AS deductions, {_amount('Net Pay')} AS net FROM doc_texts WHERE true_type = 'SALARY_SLIP')", "doc_texts"),
     "l08_city": _n(f"SELECT application_id, CASE WHEN trim(city_text) = '' THEN NULL {_CITIES} ELSE city_text END AS city FROM numbers"),
-    "d18_property_pages": oracle(f"SELECT page_id, coalesce({_has('url', texts.PROPERTY)} AND NOT {_has('url', texts.NOT_PROPERTY)}, false) AS property_page FROM pages_of", pages_of="SELECT * FROM pages"),
-    "l27_refused_pages": oracle(f"SELECT page_id, coalesce({_has('html', texts.REFUSED)}, false) AS refused FROM pages_of", pages_of="SELECT * FROM pages"),
+    "d18_property_pages": oracle(f"SELECT page_id, coalesce({_has('url', texts.PROPERTY)} AND NOT {_has('url', texts.NOT_PROPERTY)}, false) AS property_page FROM listing_pages", "listing_pages"),
+    "l27_refused_pages": oracle(f"SELECT page_id, coalesce({_has('html', texts.REFUSED)}, false) AS refused FROM listing_pages", "listing_pages"),
     "j12_compared": oracle(
         f"""SELECT application_id, concat_ws(',', CASE WHEN income THEN 'monthly_income' END, CASE WHEN worth THEN 'property_value' END, CASE WHEN ratio THEN 'ltv' END) AS agreement,
  concat_ws(',', CASE WHEN NOT income THEN 'monthly_income' END, CASE WHEN NOT worth THEN 'property_value' END, CASE WHEN NOT ratio THEN 'ltv' END) AS disagreement, NOT coalesce(income, true) OR NOT coalesce(worth, true) AS material

@@ -184,3 +184,19 @@ def test_factor_words(spark):
     df = spark.createDataFrame([("Unstable income",), ("Low credit risk tier",), ("Very high LTV (95%)",), ("Moderate FOIR (45%)",)], "f string")
     good, bad = decision._about(decision.POSITIVE), decision._about(decision.NEGATIVE)
     assert [tuple(r) for r in df.select(good(df["f"]), bad(df["f"])).collect()] == [(True, True), (False, True), (False, True), (False, False)]
+
+
+def test_pages(spark):
+    from loanloom.operators import pages
+
+    html = """<html><script type="application/ld+json">{"offers": {"price": 5}, "address": {"addressLocality": "Old"}}</script><script type='application/ld+json'>not json</script>
+<script id="__NEXT_DATA__">{"address": {"addressLocality": "New"}}</script><style>.x{}</style><p>3&nbsp;</p><p>2 BHK <b>1,200</b> sq.ft. ₹1.5 Cr</p><p>Semi-Furnished furnished, 2 Bath, Floor: 3, 560066</p>
+PRM/KA/RERA/1/2/PR/3/4 Builder: Acme <br></html>"""
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id long, html string")
+    s = {r["page_id"]: r for r in pages.structured(df).collect()}
+    assert (s[1]["n_blocks"], s[1]["locality"], s[1]["price_text"], s[2]["n_blocks"], s[3]["locality"]) == (3, "New", "5", 0, None)
+    a = {r["page_id"]: r for r in pages.attributes(df).collect()}
+    assert (a[1]["bedrooms"], a[1]["area_sqft"], a[1]["price_inr"], a[1]["pincode"], a[1]["furnishing"], a[1]["bathrooms"], a[1]["floor"]) == (2, 1200.0, 15_000_000.0, "560066", "Semi-Furnished", 2, 3)
+    assert a[2]["bedrooms"] is None and a[3]["furnishing"] is None
+    p = pages.projects(df).collect()
+    assert [(r["page_id"], r["rera_number"], r["builder_name"]) for r in p] == [(1, "PRM/KA/RERA/1/2/PR/3/4", "Acme")]
