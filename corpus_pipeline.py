@@ -1,4 +1,12 @@
-"""A training-text pipeline: language ID, line dedup, near dedup, decontamination, BPE."""
+"""A training-text pipeline: language ID, line dedup, near dedup, decontamination, BPE.
+
+Each stage works on every row that its predecessor kept, and all columns of documents pass through to the last one.
+
+Defined results: rows whose text is null, empty or has no letter are rejected by the first stage; an empty table stays
+empty. Rows that share a doc_id are judged by their own texts; repeated rows lose all but one to near dedup. Extra
+columns, also with names that a stage uses inside, are kept as they are. Long texts are read whole. Of a group of near
+copies the row with the smallest doc_id stays. The last stage gives doc_id, n_tokens and ids alone.
+"""
 
 from __future__ import annotations
 
