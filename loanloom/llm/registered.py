@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import byte_bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, personal_data, quality_rules, token_counts, toxicity
+from loanloom.llm import byte_bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, personal_data, quality_rules, simhash, token_counts, toxicity
 from loanloom.llm.cluster import documents
 
 
@@ -59,9 +59,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), words=3)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_personal_data, op5_near_dedup, op6_license_scan, op7_decontamination, op8_token_counts, op9_toxicity, op10_byte_bpe)
+    for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_personal_data, op5_near_dedup, op6_license_scan, op7_decontamination, op8_token_counts, op9_toxicity, op10_byte_bpe, op11_simhash)
 }
 
 _KEY = r"lower_az(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))"
