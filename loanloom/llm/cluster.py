@@ -4,6 +4,7 @@ package on the executors."""
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,6 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a table that written() made, once nothing will read it again."""
+    spark = df.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if not re.search("-[0-9a-f]{32}$", folder):
+            raise ValueError(f"{folder} isn't a table of written()")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once per application, and lowers the session's Arrow batches to
     BATCH_BYTES where they may be larger."""
