@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import byte_bpe, collocations, decontaminate, language_id, license_scan, line_dedup, near_dedup, personal_data, quality_rules, simhash, token_counts, toxicity
+from loanloom.llm import byte_bpe, collocations, decontaminate, hard_negatives, language_id, license_scan, line_dedup, near_dedup, personal_data, quality_rules, simhash, token_counts, toxicity
 from loanloom.llm.cluster import documents
 
 
@@ -67,9 +67,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_personal_data, op5_near_dedup, op6_license_scan, op7_decontamination, op8_token_counts, op9_toxicity, op10_byte_bpe, op11_simhash, op12_collocations)
+    for f in (op1_language_id, op2_quality_rules, op3_line_dedup, op4_personal_data, op5_near_dedup, op6_license_scan, op7_decontamination, op8_token_counts, op9_toxicity, op10_byte_bpe, op11_simhash, op12_collocations, op13_hard_negatives)
 }
 
 _KEY = r"lower_az(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))"
@@ -97,4 +101,4 @@ SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id
 """
 
-ORACLE = {"op2_quality_rules": quality_rules.ORACLE, "op3_line_dedup": _OP3, "op5_near_dedup": _OP5, "op6_license_scan": license_scan.oracle(), "op12_collocations": collocations.ORACLE}
+ORACLE = {"op2_quality_rules": quality_rules.ORACLE, "op3_line_dedup": _OP3, "op5_near_dedup": _OP5, "op6_license_scan": license_scan.oracle(), "op12_collocations": collocations.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
