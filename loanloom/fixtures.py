@@ -174,7 +174,7 @@ FROM case_inputs WHERE application_id % 8 = 0
 UNION ALL
 SELECT application_id, 'BANK_STATEMENT', concat('stmt_', CAST(application_id AS STRING), '.pdf'),
   concat(CASE application_id % 3 WHEN 0 THEN 'HDFC Bank' WHEN 1 THEN 'Canara Bank' ELSE 'Village Bank' END, ' Account Statement', chr(10), 'Account Holder Name: ', name, chr(10), 'Account Number: 12345', lpad(CAST(application_id AS STRING), 8, '0'), chr(10), 'IFSC Code: HDFC0', lpad(CAST(application_id % 1000000 AS STRING), 6, '0'), chr(10),
-    'Statement Period: 01/01/2024 to 30/06/2024', chr(10), CASE WHEN application_id % 4 = 0 THEN concat('05/01/2024 SALARY CREDIT', chr(10), 'ref 77', chr(10), '55,', CAST(100 + application_id % 900 AS STRING), '.00')
+    'Statement Period: 01/01/2024 to 30/06/2024', chr(10), CASE WHEN application_id % 4 = 0 THEN concat('05/01/2024 SALARY CREDIT', chr(10), CASE WHEN application_id % 8 = 0 THEN 'ref 0.00 77.50' ELSE 'ref 77' END, chr(10), '55,', CAST(100 + application_id % 900 AS STRING), '.00')
       ELSE concat('05/01/2024 ACH SALARY 0.00 62,', CAST(100 + application_id % 900 AS STRING), '.00 210,000.00', chr(10), '07/01/2024 HOME LOAN EMI 12,', CAST(100 + application_id % 900 AS STRING), '.50 150,000.00', chr(10), '05/02/2024 PAYROLL 61,000.00') END, chr(10), '09/02/2024 UPI TEA 40.00', chr(10), 'Closing Balance: Rs. 9', CAST(application_id % 1000 AS STRING), '.25')
 FROM case_inputs WHERE application_id % 7 = 0
 UNION ALL
@@ -184,6 +184,31 @@ SELECT application_id, 'PROPERTY_DEED', concat('scan_', CAST(application_id AS S
 FROM case_inputs WHERE application_id % 9 = 0
 UNION ALL
 SELECT application_id, 'OTHER', concat('note_', CAST(application_id AS STRING), '.txt'), 'A letter without any mark.' FROM applications WHERE application_id % 50 = 0
+""",
+    "scanned_texts": """
+SELECT application_id, 'PAN_CARD' AS doc_class, concat('card_', CAST(application_id AS STRING), '.png') AS filename,
+  CASE WHEN application_id % 4 = 0 THEN concat('INCOME TAX DEPARTMENT', chr(10), 'GOVT. OF INDIA', chr(10), ' ', upper(name), chr(10), 'RAJ SINGH', chr(10), '12/03/1985', chr(10), 'x', form_pan, chr(10), form_pan)
+       WHEN application_id % 4 = 1 THEN concat(form_pan, chr(10), 'Father''s Name: Ram Dev', chr(10), 'Name: ', name, chr(10), 'DOB: 02-04-1979')
+       WHEN application_id % 4 = 2 THEN concat('Signature', chr(10), 'Govt. of India') ELSE NULL END AS text
+FROM case_inputs WHERE application_id % 3 = 0
+UNION ALL
+SELECT application_id, 'AADHAAR_CARD', concat('uid_', CAST(application_id AS STRING), '.png'),
+  concat('Government of India', chr(10), CASE WHEN application_id % 6 < 3 THEN concat(aadhaar_name, chr(10)) ELSE '' END, 'DOB: 0', CAST(1 + application_id % 9 AS STRING), '/02/1985', chr(10), CASE application_id % 3 WHEN 0 THEN 'FEMALE' WHEN 1 THEN 'Transgender' ELSE 'n/a' END, chr(10), '2345 6789 ', CAST(1000 + application_id % 9000 AS STRING), chr(10),
+    CASE application_id % 4 WHEN 0 THEN concat('Address:', chr(10), '12 Lake Side', chr(10), 'Erode 638001') WHEN 1 THEN ' Flat 4, MG Road, Pune 411001' WHEN 2 THEN 'Address - 77 Hill View, Vellore' ELSE 'Pin 560001' END)
+FROM case_inputs WHERE application_id % 4 <> 3 OR application_id % 5 = 0
+UNION ALL
+SELECT application_id, 'BANK_STATEMENT', concat('bank_', CAST(application_id AS STRING), '.txt'),
+  concat(CASE application_id % 3 WHEN 0 THEN 'Statement of sbi' ELSE 'Village Bank' END, chr(10), CASE application_id % 4 WHEN 0 THEN concat('Name: ', name) WHEN 1 THEN 'Name: Axis Branch' WHEN 2 THEN concat('Customer Name', chr(10), name) ELSE '' END, chr(10),
+    'A/C No. 12345', lpad(CAST(application_id AS STRING), 8, '0'), chr(10), CASE WHEN application_id % 5 = 0 THEN '' ELSE 'IFSC SBIN0123456' END, chr(10),
+    CASE application_id % 6 WHEN 0 THEN 'Inward Cheque Returns: 2' WHEN 1 THEN concat('01/02/2024 ECS BOUNCE 500.00', chr(10), '09/03/2024 nach return 200.00', chr(10), 'CHEQUE RETURN COUNT: 0') WHEN 2 THEN 'Bounce Count 0' ELSE '02/02/2024 UPI 20.00' END, chr(10),
+    CASE application_id % 7 WHEN 0 THEN concat('05/02/2024 SALARY CREDIT', chr(10), 'ref 0.00 77.50', chr(10), '61,000.00') WHEN 1 THEN '05/02/2024 PAYROLL 0.00' WHEN 2 THEN 'Closing Balance: 12,000.50' WHEN 3 THEN '05/02/2024 ach salary 0.00 70,000.00' ELSE '' END)
+FROM case_inputs WHERE application_id % 5 < 3
+UNION ALL
+SELECT application_id, 'PROPERTY_DEED', concat('deed_', CAST(application_id AS STRING), '.pdf'),
+  concat(CASE application_id % 2 WHEN 0 THEN 'Possession Letter' ELSE 'Deed' END, chr(10), 'In favour of', chr(10), name, chr(10), 'Builder: Acme & Sons', chr(10),
+    CASE application_id % 4 WHEN 0 THEN concat('Property Address:', chr(10), '12 Lake Road,', chr(10), 'Whitefield, Pune, 560066', chr(10), 'Super Built-up Area: 1,450.5 Sq. Ft.', chr(10)) WHEN 1 THEN concat('Property Address: 7 Hill St, Adyar, Chennai', chr(10)) WHEN 2 THEN concat('PROPERTY ADDRESS 9 Sea View, Erode', chr(10)) ELSE '' END,
+    CASE WHEN application_id % 3 = 0 THEN 'Sale Consideration Rs. 45,00,000' ELSE 'Consideration 0' END)
+FROM case_inputs WHERE application_id % 7 = 1
 """,
     "bank_credits": """
 SELECT l_orderkey AS application_id, l_linenumber AS line_no, l_shipdate AS tx_ts, l_partkey, l_suppkey,

@@ -189,17 +189,18 @@ def coverage(docs: DataFrame, kind: str) -> DataFrame:
 
 def transactions(docs: DataFrame, key: str = "application_id") -> DataFrame:
     """Salary credits and loan instalments of statement texts, one row per line that has one: key, line, category,
-    amount. Statements without a salary credit in a line take the first amount in a salary line or the five lines
-    after it."""
+    amount. Statements without a salary credit in a line take, for a line that names one, the first amount of that line
+    or of the five after it; a line whose first amount is zero is passed over."""
     c = F.col
     lines = docs.select(key, F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("line", "said"))
     up = F.upper(c("said"))
-    amounts = F.filter(F.transform(F.regexp_extract_all("said", F.lit(AMOUNT), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double")), lambda x: x > 0)
+    every = F.transform(F.regexp_extract_all("said", F.lit(AMOUNT), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
     w = W.partitionBy(key).orderBy("line")
-    df = lines.withColumns({"amounts": amounts, "salary": _holds(up, SALARY), "loan": _holds(up, LOAN), "named": _holds(up, SALARY_LINE)})
+    df = lines.withColumn("every", every).withColumns({"amounts": F.filter("every", lambda x: x > 0), "leading": F.get("every", F.lit(0)), "salary": _holds(up, SALARY), "loan": _holds(up, LOAN), "named": _holds(up, SALARY_LINE)})
     first, last = F.get("amounts", F.lit(0)), F.element_at("amounts", -1)
     second_last = F.element_at("amounts", -2)
-    ahead = F.coalesce(first, *[F.lead(first, k).over(w) for k in range(1, 6)])
+    leading = F.when(c("leading") > 0, c("leading"))
+    ahead = F.coalesce(leading, *[F.lead(leading, k).over(w) for k in range(1, 6)])
     df = df.withColumn("ahead", ahead)
     n = F.size("amounts")
     credit = F.when(n == 1, first).when((n >= 2) & (last > second_last * 1.2), second_last).when(n >= 2, first)

@@ -219,10 +219,11 @@ _ADDRESS = f"[trim(p) for p in string_split({_first(x.TEXTS['PROPERTY_DEED']['pr
 _AT = f"list_position([lower(p) for p in {_ADDRESS}], lower({_CITY}))"
 _LINES = "SELECT application_id, generate_subscripts(l, 1) AS line, unnest(l) AS said FROM (SELECT application_id, [trim(p) for p in string_split(text, chr(10)) if trim(p) <> ''] AS l FROM doc_texts WHERE true_type = 'BANK_STATEMENT')"
 _AMOUNTS = f"[CAST(replace(a, ',', '') AS DOUBLE) for a in regexp_extract_all(said, {q(x.AMOUNT)}, 1) if CAST(replace(a, ',', '') AS DOUBLE) > 0]"
+_LEADING = f"CAST(replace(regexp_extract_all(said, {q(x.AMOUNT)}, 1)[1], ',', '') AS DOUBLE)"
 _TAGGED = f"""SELECT application_id, CASE WHEN credit IS NOT NULL OR (NOT has AND named AND ahead IS NOT NULL) THEN 'SALARY' WHEN NOT salary AND loan AND a[1] IS NOT NULL THEN 'LOAN_EMI' END AS category, CASE WHEN credit IS NOT NULL THEN credit WHEN NOT has AND named AND ahead IS NOT NULL THEN ahead ELSE a[1] END AS amount FROM (
  SELECT *, bool_or(credit IS NOT NULL) OVER (PARTITION BY application_id) AS has FROM (
- SELECT *, CASE WHEN salary THEN CASE WHEN len(a) = 1 THEN a[1] WHEN len(a) >= 2 AND a[-1] > a[-2] * 1.2::DOUBLE THEN a[-2] ELSE a[1] END END AS credit, coalesce(a[1], {", ".join(f"lead(a[1], {k}) OVER (PARTITION BY application_id ORDER BY line)" for k in range(1, 6))}) AS ahead FROM (
- SELECT *, {_any("upper(said)", x.SALARY)} AS salary, {_any("upper(said)", x.LOAN)} AS loan, {_any("upper(said)", x.SALARY_LINE)} AS named, {_AMOUNTS} AS a FROM lines)))"""
+ SELECT *, CASE WHEN salary THEN CASE WHEN len(a) = 1 THEN a[1] WHEN len(a) >= 2 AND a[-1] > a[-2] * 1.2::DOUBLE THEN a[-2] ELSE a[1] END END AS credit, coalesce(z, {", ".join(f"lead(z, {k}) OVER (PARTITION BY application_id ORDER BY line)" for k in range(1, 6))}) AS ahead FROM (
+ SELECT *, CASE WHEN {_LEADING} > 0 THEN {_LEADING} END AS z, {_any("upper(said)", x.SALARY)} AS salary, {_any("upper(said)", x.LOAN)} AS loan, {_any("upper(said)", x.SALARY_LINE)} AS named, {_AMOUNTS} AS a FROM lines)))"""
 CHAIN = {"classified": CLASSIFIED_SQL, "slips": SLIPS_SQL, "lines": _LINES, "tagged": f"SELECT * FROM ({_TAGGED}) WHERE category IS NOT NULL"}
 
 
