@@ -129,6 +129,17 @@ SELECT page_id, concat(CASE page_id % 6 WHEN 0 THEN 'https://x.example/flat-npd-
     CASE WHEN page_id % 7 = 0 THEN concat(chr(10), 'PRM/KA/RERA/1251/446/PR/1710', CAST(page_id % 10 AS STRING), '/00', CAST(page_id AS STRING), chr(10), 'Project Name: Lake Park', chr(10), 'Builder: Acme Homes', chr(10), 'Total Units: ', CAST(page_id % 300 AS STRING), chr(10), 'Completion Date: 2025-06-30', chr(10)) ELSE '' END,
     CASE WHEN page_id % 11 = 0 THEN '<p>Access Denied</p>' WHEN page_id % 13 = 0 THEN '<p>please solve the CAPTCHA</p>' ELSE '' END) AS html
 FROM pages
+""",
+    "rich_pages": """
+SELECT page_id, concat('<html><head>', CASE page_id % 5 WHEN 0 THEN '<meta name="description" content="2 BHK flat in Lake View, Pune">' WHEN 1 THEN '<title>Flats at Hill Road | Example</title>' ELSE '<title>A page</title>' END, '</head><body>',
+    CASE WHEN page_id % 6 = 2 THEN '<nav><a href="/">Home</a> <a href="/p">Projects in <b>Sea</b> Side</a></nav>' WHEN page_id % 6 = 4 THEN '<ul class="top breadcrumb"><a>Property</a><a>Properties in Old Town</a></ul>' ELSE '' END,
+    CASE WHEN page_id % 2 = 0 THEN concat('<script type="application/ld+json">[{"name": "A', CAST(page_id AS STRING), '", "address": {"addressLocality": "Lake", "postalCode": "560066"}}, {"offers": {"price": ', CAST(4000000 + page_id AS STRING), '}}, 7]</script>') ELSE '' END,
+    CASE WHEN page_id % 3 = 0 THEN concat('<script type="application/ld+json">{"address": {"addressLocality": "Hill ', CAST(page_id % 4 AS STRING), '"}, "geo": {"lat": 1}}', chr(10), '{"geo": {"lon": 2, "at": {"x": 1}}, "tags": ["x", "y"]}</script>') ELSE '' END,
+    CASE WHEN page_id % 4 = 1 THEN '<script type="application/ld+json">{"name": "broken" "x"}</script><script type="application/ld+json">no object</script>' ELSE '' END,
+    CASE WHEN page_id % 5 = 2 THEN '<script id="__NEXT_DATA__" type="application/json">{"props": {"page": {"id": 7, "city": "Pune"}}, "address": "none", "geo": {"at": {"y": 2}}}</script>' ELSE '' END,
+    CASE WHEN page_id % 7 = 0 THEN '<script>window.__NUXT__ = {"props": {"page": {"city": "Erode"}}, "tags": {"k": 1}};</script>' ELSE '' END,
+    CASE WHEN page_id % 4 < 2 THEN concat('<div>2 BHK of 1,', CAST(100 + page_id % 800 AS STRING), ' sq.ft. for ₹ 1.', CAST(page_id % 9 AS STRING), ' Cr <p>3 BHK: 1500 sqft, ₹95 Lakh</p> 4 BHK 2,000 sq. feet on request ... 1 BHK 600 sq ft ₹40,', CAST(page_id % 9 AS STRING), ' Lac</div>') ELSE '' END, '</body></html>') AS html
+FROM pages
 """,
     "subjects": """
 SELECT o_orderkey AS application_id,

@@ -141,6 +141,23 @@ def d16_attributes(s, d):
     return pages.attributes(view(s, d, "listing_pages"))
 
 
+#: Paths that the queries read of the merged data.
+MERGED = {"name": "$.name", "locality": "$.address.addressLocality", "pincode": "$.address.postalCode", "price": "$.offers.price", "city": "$.props.page.city", "page": "$.props.page.id", "lat": "$.geo.lat", "lon": "$.geo.lon", "x": "$.geo.at.x", "y": "$.geo.at.y", "tag": "$.tags[0]", "tagged": "$.tags.k"}
+
+
+def d15_deep_merged(s, d):
+    found = pages.merged_data(view(s, d, "rich_pages"))
+    return found.select("page_id", "n_chunks", F.array_join(F.array_sort(F.json_object_keys("data")), ",").alias("keys"), *[F.get_json_object("data", p).alias(n) for n, p in MERGED.items()])
+
+
+def d16_configurations(s, d):
+    return pages.configurations(view(s, d, "rich_pages"))
+
+
+def d16_localities(s, d):
+    return pages.localities(view(s, d, "rich_pages"))
+
+
 def d17_projects(s, d):
     return pages.projects(view(s, d, "listing_pages"))
 
@@ -151,7 +168,7 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (d01_classified, t03_class_counts, d04_salary_slip, d08_transactions, d09_statement_summary, d11_overridden, d12_bundles, w08_first_slip, v05_recency, v06_years,
-              a32_class_report, a32_class_summary, a33_class_cost, a39_field_quality, a40_text_errors, d13_profiles, k10_compliance_input, d15_structured, d16_attributes, d17_projects)
+              a32_class_report, a32_class_summary, a33_class_cost, a39_field_quality, a40_text_errors, d13_profiles, k10_compliance_input, d15_structured, d16_attributes, d15_deep_merged, d16_configurations, d16_localities, d17_projects)
 }
 
 
@@ -259,7 +276,26 @@ _TEXT = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|
 _LD = f"regexp_extract_all(html, {q(pages.BLOCKS[0])}, 1)"
 _NEXT = f"regexp_extract_all(html, {q(pages.BLOCKS[1])}, 1)"
 _PRICE = f"lower(replace(regexp_extract(t, {q(pages.CONFIGURATION)}, 3), '₹', ''))"
+_OBJECTS = """CASE WHEN CASE WHEN json_valid(b) THEN json_type(b) = 'ARRAY' ELSE false END THEN json_extract(b, '$[*]')::VARCHAR[] ELSE string_split(regexp_replace(b, '\\}\\s*\\{', '}' || chr(1) || '{', 'g'), chr(1)) END"""
+_VALID_OBJECTS = "[x::JSON for x in {} if CASE WHEN json_valid(x) THEN json_type(x) = 'OBJECT' ELSE false END]"
+_MERGED = f"""SELECT page_id, html, len([x for x in chunks if NOT starts_with(x, '7')]) AS n_chunks, list_reduce(list_concat(['{{}}'::JSON], {_VALID_OBJECTS.format('chunks')}, {_VALID_OBJECTS.format('nexts')}[1:1], {_VALID_OBJECTS.format('nuxts')}[1:1]), lambda p, q: json_merge_patch(p, q)) AS data FROM (
+ SELECT page_id, html, flatten([{_OBJECTS} for b in regexp_extract_all(html, {q(pages.BLOCKS[0])}, 1)]) AS chunks, regexp_extract_all(html, {q(pages.BLOCKS[1])}, 1) AS nexts, regexp_extract_all(html, {q(pages.BLOCKS[2])}, 1) AS nuxts FROM rich_pages)"""
+def _c(k):
+    return f"regexp_extract_all(t, {q(pages.CONFIGURATION)}, {k})"
+
+
+def _group(text, pattern):
+    return f"nullif(trim(regexp_extract({text}, {q(pattern)}, 1)), '')"
+
+
+_LINKS = f"flatten([regexp_extract_all(x, {q(pages.ANCHOR)}, 1) for x in list_concat(regexp_extract_all(html, {q(pages.CRUMBS)}, 1), regexp_extract_all(html, {q(pages.CRUMBS)}, 2))])"
+_SAID = "trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
 ORACLE = {
+    "d15_deep_merged": oracle("SELECT page_id, n_chunks, array_to_string(list_sort(json_keys(data)), ',') AS keys, " + ", ".join(f"json_extract_string(data, '{p}') AS {n}" for n, p in MERGED.items()) + " FROM merged", "rich_pages", merged=_MERGED),
+    "d16_configurations": oracle(f"""SELECT page_id, CAST(k AS INT) AS place, TRY_CAST(bhk AS INT) AS bedrooms, TRY_CAST(replace(area, ',', '') AS DOUBLE) AS area_sqft, TRY_CAST(regexp_extract(price, '[0-9.]+') AS DOUBLE) * CASE WHEN contains(price, 'cr') THEN 10000000 ELSE 100000 END AS price_inr
+ FROM (SELECT page_id, unnest({_c(1)}) AS bhk, unnest({_c(2)}) AS area, lower(replace(replace(unnest({_c(3)}), '₹', ''), ',', '')) AS price, generate_subscripts({_c(1)}, 1) AS k FROM (SELECT page_id, {_TEXT} AS t FROM rich_pages))""", "rich_pages"),
+    "d16_localities": oracle(f"""SELECT page_id, coalesce(known, described, linked, titled) AS locality, CASE WHEN known IS NOT NULL THEN 'data' WHEN described IS NOT NULL THEN 'description' WHEN linked IS NOT NULL THEN 'trail' WHEN titled IS NOT NULL THEN 'title' END AS found_in FROM (
+ SELECT page_id, nullif(json_extract_string(data, '$.address.addressLocality'), '') AS known, {_group(f"regexp_extract(html, {q(pages.META)}, 1)", pages.IN_META)} AS described, [{_group(_SAID, pages.IN_CRUMB)} for x in {_LINKS} if {_group(_SAID, pages.IN_CRUMB)} IS NOT NULL][1] AS linked, {_group(f"regexp_extract(html, {q(pages.TITLE)}, 1)", pages.IN_TITLE)} AS titled FROM merged)""", "rich_pages", merged=_MERGED),
     "d13_profiles": _o(f"SELECT application_id, primary_name, pan_number, aadhaar_number, monthly_gross, monthly_net, n_slips, property_city, verification_status, n_missing, concat_ws(',', CASE WHEN n_missing > 0 THEN 'missing_documents' END, CASE WHEN NOT (pan_present AND aadhaar_present) THEN 'incomplete_kyc' END) AS flags FROM ({_PROFILES})"),
     "k10_compliance_input": _o(f"SELECT application_id, pan_present, aadhaar_present, address_present, source_of_funds_declared, pan_present AND aadhaar_present AS identity_verification_logged FROM ({_PROFILES})"),
     "d15_structured": oracle(f"SELECT page_id, len(b) AS n_blocks, " + ", ".join(f"list_filter([json_extract_string(j, '{p}') for j in b], lambda v: v IS NOT NULL)[-1] AS {n}" for n, p in pages.PATHS.items()) + f" FROM (SELECT page_id, list_concat({_LD}, {_NEXT}) AS b FROM listing_pages)", "listing_pages"),

@@ -46,7 +46,7 @@ def found(spark):
     ((7, "property_address"), ("12 Lake Road,\nWhitefield, Pune, 560066", "12 Lake Road,\nWhitefield, Pune, 560066", "Property Address:", 0.95)),
     ((7, "locality"), ("Whitefield", "Whitefield", "Whitefield", 0.85)),
     ((7, "super_area"), ("1450.5", "1450.5 Sq. Ft.", None, 0.92)),
-    ((7, "value"), ("4,500,000.00", "Consideration: ₹4,500,000.00", "Consideration Rs.", 0.94)),
+    ((7, "value"), ("4,500,000.00", "Consideration: ₹4,500,000.00", "Sale Consideration", 0.94)),
     ((8, "employer_name"), ("Acme Works", "Acme Works", "Acme Works", 0.90)),
     ((8, "gross_salary"), ("100,000.00", "Gross Salary: ₹100,000.00", "Gross Salary", 0.95)),
     ((9, "assessment_year"), ("2024-25", "Assessment Year: 2024 - 25", "Assessment Year: 2024 - 25", 0.96)),
