@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +41,53 @@ def _letters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda x: x != "")
 
 
+def bound(use: Callable[[Column], Column], **values: Column) -> Column:
+    """use of a struct of the named values. They are worked out once for a row, not wherever use reads them, as they
+    would be if they stood in its lambdas themselves."""
+    one = F.array(F.struct(*[v.alias(n) for n, v in values.items()]))
+    return F.get(F.transform(one, use), F.lit(0))
+
+
+#: Letters that fit in the bits of one number.
+BITS = 62
+
+
+def _short_subsequence(a: Column, b: Column) -> Column:
+    """common_subsequence where a has at most BITS elements: a row of the table is the bits of one number, and an
+    element of b takes a handful of operations (bit-parallel, after Hyyro)."""
+    one = F.lit(1).cast("long")
+    place = lambda acc, z, x: F.struct((acc["bit"] * 2).alias("bit"), F.when(z == x, acc["mask"] + acc["bit"]).otherwise(acc["mask"]).alias("mask"))
+    mask = lambda x: F.aggregate(a, F.struct(one.alias("bit"), F.lit(0).cast("long").alias("mask")), lambda acc, z: place(acc, z, x), lambda acc: acc["mask"])
+    places = F.map_from_entries(F.transform(F.array_distinct(a), lambda x: F.struct(x, mask(x))))
+
+    def row(s: Column) -> Column:
+        def step(v: Column, x: Column) -> Column:
+            hit = lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(s["full"])
+            return F.coalesce(bound(lambda t: hit(t["u"]), u=v.bitwiseAND(F.element_at(s["places"], x))), v)
+
+        return F.size(a) - F.bit_count(F.aggregate(b, s["full"], step))
+
+    return bound(row, places=places, full=F.expr("0L") + F.call_function("shiftleft", one, F.size(a)) - 1)
+
+
+def _ratio(x: Column, y: Column) -> Column:
+    """200 times the common subsequence of two texts over their lengths together."""
+
+    def of(s: Column) -> Column:
+        short = F.size(s["p"]) <= BITS
+        return F.try_divide(200.0 * F.when(short, _short_subsequence(s["p"], s["q"])).otherwise(common_subsequence(s["p"], s["q"])), F.size(s["p"]) + F.size(s["q"]))
+
+    return bound(of, p=_letters(x), q=_letters(y))
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """0 to 100: 200 times the common subsequence of the sorted words over their lengths together. Equal word
     sets give 100 without it."""
-    x, y = sorted_words(a), sorted_words(b)
-    total = F.char_length(x) + F.char_length(y)
-    return F.when(x == y, 100.0).otherwise(F.try_divide(200.0 * common_subsequence(_letters(x), _letters(y)), total))
+    return bound(lambda s: F.when(s["x"] == s["y"], 100.0).otherwise(_ratio(s["x"], s["y"])), x=sorted_words(a), y=sorted_words(b))
+
+
+def token_sort_reaches(a: Column, b: Column, least: float) -> Column:
+    """Whether token_sort_ratio is at least so high; lengths that rule it out are told without the ratio."""
+    n, m = (lambda s: F.char_length(s["x"])), (lambda s: F.char_length(s["y"]))
+    far = lambda s: 200.0 * F.least(n(s), m(s)) < least * (n(s) + m(s))
+    return bound(lambda s: F.when(s["x"] == s["y"], F.lit(100.0 >= least)).when(far(s), False).otherwise(_ratio(s["x"], s["y"]) >= least), x=sorted_words(a), y=sorted_words(b))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loanloom.config import COMPLIANCE
 from loanloom.functions.columns import present, rounded
-from loanloom.functions.names import token_sort_ratio
+from loanloom.functions.names import token_sort_reaches
 
 #: Cities of the metro ceiling, attributes that no decision may use, the documents a file needs
 #: and the date formats accepted.
@@ -37,7 +37,7 @@ def city_tier(city: Column) -> Column:
 def names_match(a: Column, b: Column, threshold: float = COMPLIANCE["name_threshold"]) -> Column:
     """Whether two names are alike; a missing one is no mismatch."""
     missing = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
-    return F.when(missing, True).otherwise(token_sort_ratio(F.lower(a), F.lower(b)) >= threshold)
+    return F.when(missing, True).otherwise(token_sort_reaches(F.lower(a), F.lower(b), threshold))
 
 
 def _flag(code: str, severity: str, check: str, message: Column | str) -> Column:
@@ -134,7 +134,8 @@ def rule_status(found: DataFrame) -> DataFrame:
 
 def flag_table(found: DataFrame) -> DataFrame:
     """One row per flag: application_id, its place, check, code, severity and message."""
-    rows = found.select("application_id", F.posexplode("flags").alias("place", "x"))
+    # of posexplode() the optimizer infers a filter on the flags, which would work them out once more
+    rows = found.select("application_id", F.posexplode_outer("flags").alias("place", "x")).where("x is not null")
     return rows.select("application_id", "place", "x.check", "x.code", "x.severity", "x.message")
 
 

@@ -3,7 +3,9 @@ assignment and merging.
 
 A block is a city with one locality and number of bedrooms. For thresholds above 0.51 that loses nothing: two
 localities that differ give 0.51 at most, two numbers of bedrooms 0.45. Listings that lack one of the two
-fields meet those that agree in what both have; their number per city decides what that costs.
+fields meet those that agree in what both have: each listing comes once for each state that the other one may be in (with or
+without locality, with or without bedrooms), so that every pair meets under one key of all that both have. How many of a
+city lack the fields decides what that costs. Skewed keys are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -48,21 +50,29 @@ def match_score(a: str, b: str) -> Column:
 _COMPARED = ("city", "plain", "bedrooms", "area_sqft", "price_inr")
 
 
+def _keyed(df: DataFrame, mine: str, p: str) -> DataFrame:
+    """df with a row for each of the four states of the other side (which of locality and bedrooms it has) and as keys
+    both states, the city and what both sides have of the two."""
+    c = F.col
+    has = F.when(c(f"{p}plain").isNotNull(), 1).otherwise(0) + F.when(c(f"{p}bedrooms").isNotNull(), 2).otherwise(0)
+    df = df.where(c(f"{p}city").isNotNull()).withColumn("_own", has).withColumn("_other", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    shared = c("_own").bitwiseAND(c("_other"))
+    first, second = (c("_own"), c("_other")) if mine == "a" else (c("_other"), c("_own"))
+    rooms = F.when(shared >= 2, c(f"{p}bedrooms").cast("long")).otherwise(-1)
+    place = F.when(shared.bitwiseAND(F.lit(1)) == 1, c(f"{p}plain")).otherwise("")
+    keys = {"_a": first, "_b": second, "_city": c(f"{p}city"), "_place": place, "_rooms": rooms}
+    return df.withColumns(keys).drop("_own", "_other")
+
+
 def candidates(left: DataFrame, right: DataFrame, least: float = LEAST, left_id: str = "listing_id", right_id: str = "listing_id") -> DataFrame:
-    """a, b and score of all pairs of left and right listings of one city with at least that score."""
+    """a, b and score of all pairs of left and right listings of one city with at least that score. Listings without a
+    city have no candidates."""
     if least <= 0.51:
         raise ValueError("blocks lose pairs for thresholds of 0.51 and below")
-    side = lambda df, key, p: df.withColumn("plain", plain(F.col("locality"))).select(F.col(key).alias(p[0]), *[F.col(n).alias(f"{p}{n}") for n in _COMPARED])
-    x, y = side(left, left_id, "a_"), side(right, right_id, "b_")
-    c = F.col
-    city, locality, rooms = c("a_city") == c("b_city"), c("a_plain") == c("b_plain"), c("a_bedrooms") == c("b_bedrooms")
-    no_locality, no_rooms = c("a_plain").isNull() | c("b_plain").isNull(), c("a_bedrooms").isNull() | c("b_bedrooms").isNull()
-    blocks = (city & locality & rooms, city & locality & no_rooms, city & rooms & no_locality, city & no_locality & no_rooms)
-    out = None
-    for block in blocks:
-        pairs = x.join(y, block).select("a", "b", match_score("a_", "b_").alias("score")).where(c("score") >= least)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    side = lambda df, key, p: _keyed(df.withColumn("plain", plain(F.col("locality"))).select(F.col(key).alias(p[0]), *[F.col(n).alias(f"{p}{n}") for n in _COMPARED]), p[0], p)
+    pairs = side(left, left_id, "a_").join(side(right, right_id, "b_"), ["_a", "_b", "_city", "_place", "_rooms"])
+    # a filter on what explode gives stays behind the join; one on the score itself would be tested in it, for every pair
+    return pairs.select("a", "b", F.explode_outer(F.array(match_score("a_", "b_"))).alias("score")).where(F.col("score") >= least)
 
 
 def assigned(pairs: DataFrame) -> DataFrame:
