@@ -10,17 +10,26 @@ city lack the fields decides what that costs. Skewed keys are split by adaptive
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanloom.functions.columns import rounded
+from loanloom.functions.graph import components
 from loanloom.functions.lineage import cut
 from loanloom.operators.listings import empty, scored
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Fields that a listing can take from another one, in order.
 MERGEABLE = ("locality", "pincode", "bathrooms", "furnishing", "floor", "total_floors", "property_age", "parking", "price_inr", "price_per_sqft", "area_sqft", "bedrooms", "property_type")
 LEAST = 0.6
+#: Pairs of a component that one task walks through; larger components are taken by rounds.
+MOST = 200_000
 
 
 def plain(text: Column) -> Column:
@@ -75,10 +84,50 @@ def candidates(left: DataFrame, right: DataFrame, least: float = LEAST, left_id:
     return pairs.select("a", "b", F.explode_outer(F.array(match_score("a_", "b_"))).alias("score")).where(F.col("score") >= least)
 
 
-def assigned(pairs: DataFrame) -> DataFrame:
+def assigned(pairs: DataFrame, most: int = MOST) -> DataFrame:
     """The one-to-one assignment that takes the best remaining pair again and again, by score, then a, then b,
-    largest first. In each round all pairs that are the best of both their ends are taken at once, which gives the
-    same pairs, since the order is strict; the best pair left always is one, so every round takes some."""
+    largest first. Pairs of different components of the graph don't bear on each other: each component is walked once in
+    that order, which takes one pass however long its chains of preferences are. Components of more than most pairs are
+    taken by rounds instead (assigned_in_rounds), spread over all tasks. a and b are whole numbers; repeated pairs count
+    once, with their best score; pairs with a null take no part."""
+    rows = pairs.where("a is not null and b is not null and score is not null").groupBy("a", "b").agg(F.max("score").alias("score"))
+    rows = cut(rows)
+    left, right = F.col("a").cast("long") * 2, F.col("b").cast("long") * 2 + 1
+    label = components(rows.select(left.alias("a"), right.alias("b")))
+    rows = rows.join(label.select(F.col("id").alias("_left"), "component"), left == F.col("_left")).drop("_left")
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n"))
+    rows = cut(rows.join(sizes, "component"))
+    order = [F.col("component"), F.desc("score"), F.desc("a"), F.desc("b")]
+    walked = rows.where(F.col("n") <= most).select("component", "a", "b", "score").repartition("component").sortWithinPartitions(*order)
+    taken = walked.mapInArrow(_walk(), rows.select("a", "b", "score").schema)
+    large = rows.where(F.col("n") > most)
+    return taken if large.isEmpty() else taken.unionByName(assigned_in_rounds(large.select("a", "b", "score")))
+
+
+def _walk() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (component, a, b, score) in the order of assigned(): the pairs whose ends are both free."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, lefts, rights = None, set(), set()
+        for batch in batches:
+            keep = []
+            for k, (component, a, b) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if component != at:
+                    at, lefts, rights = component, set(), set()
+                if a not in lefts and b not in rights:
+                    lefts.add(a)
+                    rights.add(b)
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64())).select(["a", "b", "score"])
+
+    return run
+
+
+def assigned_in_rounds(pairs: DataFrame) -> DataFrame:
+    """The pairs of assigned(): in each round all that are the best of both their ends are taken at once, which gives the
+    same ones, since the order is strict; the best pair left always is one, so every round takes some."""
     order = F.struct("score", "a", "b")
     rest, taken = cut(pairs.select("a", "b", "score")), None
     while not rest.isEmpty():

@@ -173,9 +173,14 @@ def _filled(n):
 
 
 _TAKEN = "concat_ws(',', " + ", ".join(f"CASE WHEN a.listing_id IS NOT NULL AND {_EMPTY(f'a.{n}')} AND NOT {_EMPTY(f'b.{n}')} THEN '{n}' END" for n in matching.MERGEABLE) + ")"
+#: Each pair in its order, with the lists of ends that are taken so far.
+_WALK = """ordered AS (SELECT a, b, row_number() OVER (ORDER BY score DESC, a DESC, b DESC) AS k FROM candidates),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS la, []::BIGINT[] AS lb UNION ALL SELECT o.k, CASE WHEN list_contains(la, a) OR list_contains(lb, b) THEN la ELSE list_append(la, a) END, CASE WHEN list_contains(la, a) OR list_contains(lb, b) THEN lb ELSE list_append(lb, b) END FROM walk w JOIN ordered o ON o.k = w.k + 1),
+chosen AS (SELECT unnest(la) AS a, unnest(lb) AS b FROM (SELECT la, lb FROM walk ORDER BY k DESC LIMIT 1))"""
 ORACLE = {
     "j07_candidates": _l("SELECT * FROM candidates"),
     "w07_mutual_best": _l("SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) AS ka, row_number() OVER (PARTITION BY b ORDER BY score DESC, a DESC) AS kb FROM candidates) WHERE ka = 1 AND kb = 1"),
+    "j08_assigned": _l("SELECT a, b, score FROM chosen JOIN candidates USING (a, b)").replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT a, b, score FROM chosen", f", {_WALK} SELECT a, b, score FROM chosen"),
     "j10_merged_pair": _l(f"SELECT coalesce(a.listing_id, b.listing_id) AS listing_id, {_filled('bathrooms')} AS bathrooms, {_filled('furnishing')} AS furnishing, {_filled('parking')} AS parking, concat_ws(',', CASE WHEN b.listing_id IS NOT NULL THEN 'housing' END, CASE WHEN a.listing_id IS NOT NULL THEN 'magicbricks' END) AS sources, CAST(a.listing_id IS NOT NULL AS INT) + CAST(b.listing_id IS NOT NULL AS INT) AS source_count, {_TAKEN} AS imputed_fields FROM ({_FIRST('magicbricks')}) a FULL JOIN ({_FIRST('housing')}) b ON a.listing_id = b.listing_id"),
     "t04_largest_source": _l("SELECT source, count(*) AS n FROM clean GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"),
     "j03_name_pairs": _d("SELECT * FROM pairs"),

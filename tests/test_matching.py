@@ -117,3 +117,33 @@ def test_streamed_appends(spark, tmp_path):
     spark.createDataFrame([(4, "a"), (5, "b")], schema).write.mode("append").parquet(source)
     stream_listings.append_stream(spark.readStream.schema(schema).parquet(source), table, mark).awaitTermination(120)
     assert sorted(r[0] for r in spark.read.parquet(table).collect()) == [1, 3, 5]
+
+
+def greedy(rows):
+    used, chosen = set(), set()
+    for s, a, b in sorted(((s, a, b) for a, b, s in rows), reverse=True):
+        if ("a", a) not in used and ("b", b) not in used:
+            chosen.add((a, b))
+            used |= {("a", a), ("b", b)}
+    return chosen
+
+
+def test_assignment_of_a_long_chain(spark):
+    """Each pair is better than the one before it and shares an end with it: by rounds that would take 500 of them."""
+    rows = [(i // 2 + i % 2, i // 2, 0.6 + i / 10000) for i in range(1000)]
+    pairs = spark.createDataFrame(rows, "a long, b long, score double")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert {(r["a"], r["b"]) for r in matching.assigned(pairs).collect()} == greedy(rows)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) < 300
+
+
+@pytest.mark.parametrize("most", [1000, 6])
+def test_assignment_by_components_and_by_rounds(spark, most):
+    """Components of more than most pairs are taken by rounds; repeated pairs count once, nulls take no part."""
+    rows = [(rnd.randrange(40), rnd.randrange(40), round(rnd.random(), 1)) for _ in range(60)]
+    best = {}
+    for a, b, s in rows:
+        best[a, b] = max(s, best.get((a, b), 0))
+    odd = [(None, 1, 0.9), (1, None, 0.9), (1, 1, None)]
+    pairs = spark.createDataFrame([*rows, *odd], "a long, b long, score double")
+    assert {(r["a"], r["b"]) for r in matching.assigned(pairs, most).collect()} == greedy([(a, b, s) for (a, b), s in best.items()])
