@@ -1,17 +1,19 @@
 """Quality rules by cross-document line frequency; DataFrame functions only.
 
 Lines are normalised (outer white space off, lower-cased, runs of white space one space) and hashed; for
-each host the distinct documents of each hash are counted. Lines in more documents of their host than
-limit_docs and than limit_share of the host's documents are removed, and a document is rejected when less
-than least_words words or least_share of its words are left. Simple rules on the text come first.
+each host the distinct documents of each hash are counted. Lines in least_docs documents of their host or more are
+removed if these are more than limit_share of the host's documents, or more than limit_docs (for hosts so large that boilerplate
+is a small share of them). A document is rejected when less than least_words words or least_share of its words are left. Simple
+rules on the text come first.
 
 How it scales: the first pass aggregates (host, hash) before its shuffle. Only lines above the limits are
-joined back, each of which stands in more than limit_docs documents; they are broadcast up to
+joined back, each of which stands in least_docs documents at least; they are broadcast up to
 BROADCAST_BYTES, beyond it the join is shuffled and adaptive execution splits hot keys. Repeated words are
 found within the row: no word ever leaves its document.
 
 Defined results: null text has no words. Null hosts are one host. Every row is a document, so repeated
-rows count each. Blank lines aren't counted. Extra columns are ignored.
+rows count each. Blank lines aren't counted. A line at a limit stays, only one above it goes. Very long texts are judged whole,
+within their row. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
-LIMIT_DOCS = 100
+LEAST_DOCS = 5
+LIMIT_DOCS = 1000
 LIMIT_SHARE = 0.02
 LEAST_SHARE = 0.3
 BROADCAST_BYTES = 16 << 20
@@ -77,13 +80,14 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
 
 
-def frequent_lines(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
-    """host, line hash and number of documents of the lines above both limits."""
+def frequent_lines(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """host, line hash and number of documents of the lines in least_docs documents or more and above either limit."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.xxhash64(normalised(x)))
     each = docs.select(F.coalesce("source", F.lit("")).alias("host"), F.explode(F.array_distinct(lines)).alias("hash"))
-    counts = each.groupBy("host", "hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limit_docs)
+    counts = each.groupBy("host", "hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs)
     hosts = docs.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count("*").alias("of_host"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > limit_share * F.col("of_host")).select("host", "hash", "n_docs")
+    above = (F.col("n_docs") > limit_share * F.col("of_host")) | (F.col("n_docs") > limit_docs)
+    return counts.join(hosts, "host").where(above).select("host", "hash", "n_docs")
 
 
 def judged(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -120,7 +124,7 @@ counted AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM w G
 l AS (SELECT r, host, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm,
   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d)),
 hosts AS (SELECT host, count(*) AS of_host FROM d GROUP BY host),
-freq AS (SELECT l.host, norm FROM l JOIN hosts USING (host) GROUP BY l.host, norm, of_host HAVING count(DISTINCT r) > {LIMIT_DOCS} AND count(DISTINCT r) > CAST({LIMIT_SHARE} AS DOUBLE) * of_host),
+freq AS (SELECT l.host, norm FROM l JOIN hosts USING (host) GROUP BY l.host, norm, of_host HAVING count(DISTINCT r) >= {LEAST_DOCS} AND (count(DISTINCT r) > CAST({LIMIT_SHARE} AS DOUBLE) * of_host OR count(DISTINCT r) > {LIMIT_DOCS})),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE worded GROUP BY r),
 gone AS (SELECT r, count(*) AS n_removed_lines, sum(n) AS removed FROM l JOIN freq USING (host, norm) WHERE worded GROUP BY r),
 f AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -167,6 +167,20 @@ def test_quality_rules(spark, odd):
     assert quality_rules.judged(docs(spark, odd).where("false")).count() == 0
 
 
+def test_quality_rules_with_production_limits(spark):
+    """A line in 5 documents or more goes if these are over 2 % of the host or over 1,000; at a limit it stays."""
+    line = "follow us on all of these pages for more"
+    rows = [(k, f"{prose(30)}\n{line}" if k < 5 else prose(30), "en", "small") for k in range(20)]
+    rows += [(100 + k, f"{prose(30)}\n{line}" if k < 4 else prose(30), "en", "four") for k in range(20)]
+    rows += [(1000 + k, f"{prose(25)}\n{line}" if k < 6 else prose(25), "en", "share") for k in range(300)]  # 6 are 2 % and no more
+    rows += [(200 + k, "\n".join([prose(3), line, line]), "en", "thin") for k in range(6)]
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs(spark, rows)).collect()}
+    assert all(got[k]["n_removed_lines"] == (k < 5) and got[k]["kept"] for k in range(20))
+    assert all(got[k]["n_removed_lines"] == 0 for k in [*range(100, 120), *range(1000, 1300)])
+    assert all(got[k]["n_removed_lines"] == 2 and not got[k]["kept"] for k in range(200, 206))
+    assert quality_rules.frequent_lines(docs(spark, rows), limit_docs=5, limit_share=1.0).count() == 2
+
+
 def test_licenses(spark):
     mit = license_scan.TEXTS["MIT"][0]
     rows = [(1, "Copyright (c) 2020 Some One\n\n" + mit.replace("sublicense", "sublicence").upper(), "en", "s"), (2, "text\nlicensed under the apache licence version 2.0", "en", "s"), (3, None, None, None), (4, "", None, None), (5, mit + " and more", "en", "s")]
