@@ -177,11 +177,23 @@ def by_score(records: DataFrame, score: str, bad: str) -> DataFrame:
     return records.where(F.col(score).isNotNull() & F.col(bad).isin(0, 1)).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(bad) == 0).alias("good"), F.count_if(F.col(bad) == 1).alias("bad"))
 
 
-def _walked(steps: DataFrame, order: Column) -> DataFrame:
-    """Sums of goods and bads up to each step. The window has no partition: steps are distinct scores, a few
-    thousand for scores of two places; continuous ones are to be banded first (banded_ks)."""
-    w = W.partitionBy().orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return steps.withColumns({"cum_good": F.sum("good").over(w), "cum_bad": F.sum("bad").over(w), "goods": F.sum("good").over(W.partitionBy()), "bads": F.sum("bad").over(W.partitionBy())})
+#: Ranges of scores that are walked side by side.
+PARTS = 64
+
+
+def _walked(steps: DataFrame, order: str) -> DataFrame:
+    """Sums of goods and bads up to each step, in the order of a number. The steps are cut into PARTS ranges of about as
+    many steps each; sums are taken within each range and what the ranges below hold is added, so no task sees all steps."""
+    c = F.col
+    cuts = steps.agg(F.percentile_approx(order, F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), F.lit(10_000)).alias("_cuts"))
+    parted = steps.join(F.broadcast(cuts)).withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda e: e < c(order))), F.lit(0))).drop("_cuts")
+    sums = parted.groupBy("_part").agg(F.sum("good").alias("_good"), F.sum("bad").alias("_bad"))
+    # PARTS rows at most on either side
+    of = lambda n, below: F.coalesce(F.sum(F.when(c("y._part") < c("x._part"), c(f"y.{n}")) if below else c(f"y.{n}")), F.lit(0))
+    before = sums.alias("x").join(F.broadcast(sums.alias("y"))).groupBy("x._part").agg(of("_good", True).alias("_good"), of("_bad", True).alias("_bad"), of("_good", False).alias("goods"), of("_bad", False).alias("bads"))
+    w = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = parted.join(F.broadcast(before), "_part")
+    return df.withColumns({"cum_good": F.sum("good").over(w) + c("_good"), "cum_bad": F.sum("bad").over(w) + c("_bad")}).drop("_part", "_good", "_bad")
 
 
 def _distance() -> Column:
@@ -190,7 +202,7 @@ def _distance() -> Column:
 
 def discrimination(records: DataFrame, score: str, bad: str) -> DataFrame:
     """AUC (a good scores above a bad, ties half), Gini and exact KS, with how good they are."""
-    steps = _walked(by_score(records, score, bad), F.col("score"))
+    steps = _walked(by_score(records, score, bad), "score")
     wins = F.sum(F.col("good") * (F.col("cum_bad") - F.col("bad")) + F.col("good") * F.col("bad") / 2)
     auc = F.try_divide(wins, F.max(F.col("goods") * F.col("bads")))
     found = steps.agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), rounded(auc, 6).alias("auc"), rounded(2 * auc - 1, 6).alias("gini"), rounded(_distance(), 6).alias("ks"))
@@ -210,7 +222,7 @@ def banded_ks(records: DataFrame, score: str, bad: str, edges: tuple[float, ...]
     """KS over bands of descending edges, from the top; null without both outcomes."""
     known = records.where(F.col(score).isNotNull() & F.col(bad).isin(0, 1))
     steps = known.groupBy(band(score, edges).alias("band")).agg(F.count_if(F.col(bad) == 0).alias("good"), F.count_if(F.col(bad) == 1).alias("bad"))
-    found = _walked(steps, F.col("band")).agg(rounded(_distance(), 6).alias("ks_banded"))
+    found = _walked(steps, "band").agg(rounded(_distance(), 6).alias("ks_banded"))
     return found.withColumn("status", ks_status(F.col("ks_banded")))
 
 
