@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loanloom.config import BUREAU_SOURCES, CREDIT, FLAGS, UNVERIFIED
 from loanloom.functions.columns import clamp, lookup, rounded
+from loanloom.functions.lineage import cut
 
 
 def dimension(df: DataFrame, name: str, values: tuple) -> DataFrame:
@@ -183,8 +184,10 @@ PARTS = 64
 
 def _walked(steps: DataFrame, order: str) -> DataFrame:
     """Sums of goods and bads up to each step, in the order of a number. The steps are cut into PARTS ranges of about as
-    many steps each; sums are taken within each range and what the ranges below hold is added, so no task sees all steps."""
+    many steps each; sums are taken within each range and what the ranges below hold is added, so no task sees all steps.
+    The steps are checkpointed: three branches read them."""
     c = F.col
+    steps = cut(steps)
     cuts = steps.agg(F.percentile_approx(order, F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), F.lit(10_000)).alias("_cuts"))
     parted = steps.join(F.broadcast(cuts)).withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda e: e < c(order))), F.lit(0))).drop("_cuts")
     sums = parted.groupBy("_part").agg(F.sum("good").alias("_good"), F.sum("bad").alias("_bad"))
