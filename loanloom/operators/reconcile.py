@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.functions.columns import present, rounded
+from loanloom.operators import validators
 from loanloom.operators.texts import name_similarity
 
 #: The documents that name a person, in the order they are compared; what an application needs;
@@ -15,19 +16,24 @@ REQUIREMENTS = ("PAN Card (Mandatory KYC)", "Aadhaar Card (Mandatory KYC & Addre
 PASSES = 0.80
 
 
-def name_pairs(names: DataFrame) -> DataFrame:
+def name_pairs(names: DataFrame, by: str | None = None) -> DataFrame:
     """Of rows (application_id, document, name): each pair of an application's documents (at most six, the first
-    of each kind) with its similarity and status."""
+    of each kind by the column named, else by name) with its similarity, status and notes."""
     order = F.array_position(F.array(*map(F.lit, NAMED)), F.col("document"))
     known = names.where((order > 0) & (F.coalesce("name", F.lit("")) != ""))
-    one = known.groupBy("application_id", order.cast("int").alias("place")).agg(F.min("name").alias("name"))
+    one = known.groupBy("application_id", order.cast("int").alias("place")).agg((F.min_by("name", by) if by else F.min("name")).alias("name"))
     lists = one.groupBy("application_id").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("x"))  # six at most
     pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: b["place"] > a["place"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     rows = lists.select("application_id", F.explode(pairs).alias("p"))
     kind = lambda p: F.element_at(F.array(*map(F.lit, NAMED)), p)
     score = name_similarity(F.col("p.a.name"), F.col("p.b.name"))
     found = rows.select("application_id", kind(F.col("p.a.place")).alias("document_1"), F.col("p.a.name").alias("name_1"), kind(F.col("p.b.place")).alias("document_2"), F.col("p.b.name").alias("name_2"), score.alias("similarity"))
-    return found.withColumn("status", F.when(F.col("similarity") >= 0.95, "EXACT_MATCH").when(F.col("similarity") >= 0.80, "FUZZY_MATCH").otherwise("MISMATCH"))
+    c = F.col
+    found = found.withColumn("status", F.when(c("similarity") >= 0.95, "EXACT_MATCH").when(c("similarity") >= 0.80, "FUZZY_MATCH").otherwise("MISMATCH"))
+    both = (c("document_1"), F.lit(" ('"), c("name_1"), F.lit("') and "), c("document_2"), F.lit(" ('"), c("name_2"), F.lit("')."))
+    off = F.concat(F.lit("Significant name mismatch: '"), c("name_1"), F.lit("' ("), c("document_1"), F.lit(") vs '"), c("name_2"), F.lit("' ("), c("document_2"), F.lit(")."))
+    notes = F.when(c("status") == "EXACT_MATCH", F.concat(F.lit("Names match closely between "), *both))
+    return found.withColumn("notes", notes.when(c("status") == "FUZZY_MATCH", F.concat(F.lit("Minor spelling or name format difference between "), *both)).otherwise(off))
 
 
 def employers(df: DataFrame, slip: str, form: str) -> DataFrame:
@@ -37,7 +43,64 @@ def employers(df: DataFrame, slip: str, form: str) -> DataFrame:
     short = (has(a, "tcs") & has(b, "tata consultancy")) | (has(b, "tcs") & has(a, "tata consultancy")) | (has(a, "infosys") & has(b, "infy"))
     score = F.when(short, 0.98).otherwise(name_similarity(F.col(slip), F.col(form)))
     there = (F.coalesce(slip, F.lit("")) != "") & (F.coalesce(form, F.lit("")) != "")
-    return df.where(there).select("application_id", score.alias("similarity"), F.when(score >= 0.75, "MATCH").otherwise("MISMATCH").alias("status"))
+    found = df.where(there).select("application_id", F.col(slip).alias("slip_employer"), F.col(form).alias("form_employer"), score.alias("similarity"))
+    return found.withColumn("status", F.when(F.col("similarity") >= 0.75, "MATCH").otherwise("MISMATCH"))
+
+
+def incomes(slips: DataFrame, statements: DataFrame) -> DataFrame:
+    """Each payslip of an application with a bank statement against the salary credit nearest to its net pay (the
+    earliest of equally near ones, 0 without any). slips: application_id, place, month_year, net_salary; statements:
+    one row an application with credits, its salary credits in order (null: none)."""
+    c = F.col
+    net = F.coalesce("net_salary", F.lit(0.0))
+    apart = F.transform("credits", lambda x, i: F.struct(F.abs(x - net).alias("apart"), i.alias("i"), x.alias("amount")))
+    rows = slips.join(statements, "application_id").select("application_id", "place", F.coalesce(F.when(c("month_year") != "", c("month_year")), F.lit("Latest Month")).alias("month_year"), net.alias("net_salary"), F.coalesce(F.array_min(apart)["amount"], F.lit(0.0)).alias("credited"))
+    rows = rows.withColumn("variance", rounded(F.abs(c("net_salary") - c("credited")), 2))
+    rows = rows.withColumn("variance_pct", rounded(c("variance") / F.greatest("net_salary", F.lit(1.0)) * 100.0, 2))
+    return rows.withColumn("status", F.when(c("variance_pct") <= 5, "MATCH").when(c("variance_pct") <= 15, "WITHIN_TOLERANCE").otherwise("DISCREPANCY"))
+
+
+def salary_credits(statements: DataFrame, found: DataFrame) -> DataFrame:
+    """application_id of statements with credits: the amounts of its salary rows in documents.transactions(), in order."""
+    rows = found.where("category = 'SALARY'").groupBy("application_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "amount"))), lambda x: x["amount"]).alias("credits"))
+    return statements.select("application_id").distinct().join(rows, "application_id", "left")
+
+
+def contradictions(pairs: DataFrame, found_employers: DataFrame, found_incomes: DataFrame) -> DataFrame:
+    """One row an application that has any: the texts of its contradictions (names by pair, then the employer, then
+    payslips in order) and n_other, how many of them aren't about names."""
+    c = F.col
+    place = lambda name: F.array_position(F.array(*map(F.lit, NAMED)), c(name)).cast("int")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    money = lambda name: said("₹", F.format_number(name, 2))
+    percent = F.bround(c("similarity") * 100).cast("int").cast("string")
+    # fixed values: the texts, as people read them
+    names = said("Name mismatch between ", c("document_1"), " and ", c("document_2"), ": '", c("name_1"), "' vs '", c("name_2"), "' (Similarity: ", percent, "%)")
+    employer = said("Employer mismatch: Payslip employer '", c("slip_employer"), "' does not match Form 16 employer '", c("form_employer"), "'.")
+    income = said("Income discrepancy in ", c("month_year"), ": Bank credit (", money("credited"), ") differs significantly from Payslip Net (", money("net_salary"), ").")
+    row = lambda df, kind, at, text: df.select("application_id", F.lit(kind).alias("kind"), at.cast("long").alias("at"), text.alias("text"))
+    rows = row(pairs.where("status = 'MISMATCH'"), 1, place("document_1") * 10 + place("document_2"), names)
+    rows = rows.unionByName(row(found_employers.where("status = 'MISMATCH'"), 2, F.lit(0), employer))
+    rows = rows.unionByName(row(found_incomes.where("status = 'DISCREPANCY'"), 3, c("place"), income))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("kind", "at", "text"))), lambda x: x["text"])
+    return rows.groupBy("application_id").agg(texts.alias("contradictions"), F.count_if(c("kind") > 1).alias("n_other"))
+
+
+def slip_faults(slips: DataFrame, as_of: str, window: int = 3) -> DataFrame:
+    """One row an application with payslips: a text for each that doesn't add up (bad_slips) and for each outside
+    the window (old_slips), both in their order. slips: application_id, place, month_year, gross_salary, net_salary, total_deductions."""
+    c = F.col
+    # number: a slip's place among its application's
+    rows = slips.groupBy("application_id").agg(F.array_sort(F.collect_list(F.struct("place", "month_year", "gross_salary", "net_salary", "total_deductions"))).alias("all"))
+    rows = rows.select("application_id", F.posexplode("all").alias("i", "s")).select("application_id", (c("i") + 1).alias("number"), "s.*")
+    sums = validators.salary_result(c("gross_salary"), c("net_salary"), c("total_deductions"), F.lit(0.0))
+    dated = validators.recency_result(c("month_year"), as_of, window)
+    named = F.concat(F.lit("Payslip #"), c("number"), F.lit(" ("), F.coalesce("month_year", F.lit("None")), F.lit(")"))
+    bad = F.when(~sums["is_valid"] & (c("gross_salary") > 0), F.concat(named, F.lit(" arithmetic inconsistency between Gross, Deductions, and Net pay.")))
+    old = F.when(~dated["is_valid"], F.concat(named, F.lit(": "), dated["message"]))
+    rows = rows.select("application_id", "number", bad.alias("bad"), old.alias("old"))
+    inorder = lambda x: F.transform(F.array_sort(F.collect_list(F.when(c(x).isNotNull(), F.struct("number", x)))), lambda y: y[x])
+    return rows.groupBy("application_id").agg(inorder("bad").alias("bad_slips"), inorder("old").alias("old_slips"))
 
 
 def addresses(df: DataFrame) -> DataFrame:
@@ -81,23 +144,32 @@ def ingestion_confidence(df: DataFrame) -> DataFrame:
 
 
 def review_routing(df: DataFrame) -> DataFrame:
-    """application_id with whether people have to look, the priority, and reasons and actions in order. It needs the
-    columns of ingestion_confidence() and n_contradictions, n_bad_slips, n_old_slips and n_bounces."""
+    """application_id with whether people have to look, the priority, and reasons and actions in order: one reason
+    for each contradiction and each faulty payslip. It needs the columns of ingestion_confidence() and contradictions,
+    bad_slips and old_slips (arrays of texts, null: none) and n_bounces."""
     c = F.col
-    n = lambda name: F.coalesce(c(name), F.lit(0))
-    count = lambda name: n(name).cast("string")
-    low = c("overall_confidence") < PASSES
-    rules = (
-        (F.size("missing_documents") > 0, F.concat(F.lit("Missing mandatory documents: "), F.array_join("missing_documents", ", ")), "Request missing mandatory documents from loan applicant.", 3),
-        (n("n_contradictions") > 0, F.concat(F.lit("Contradictions flagged: "), count("n_contradictions")), "Manual underwriter review required to verify name / income discrepancies.", 3),
-        (n("n_bad_slips") > 0, F.concat(count("n_bad_slips"), F.lit(" payslip(s) with arithmetic inconsistency between Gross, Deductions, and Net pay.")), "Cross-check original physical/PDF payslip line items.", 2),
-        (n("n_old_slips") > 0, F.concat(count("n_old_slips"), F.lit(" payslip(s) outside the required window")), "Request a current payslip within the required recency window.", 2),
-        (n("n_bounces") > 0, F.concat(F.lit("Detected "), count("n_bounces"), F.lit(" inward ECS/cheque bounce(s) in bank statement.")), "Escalate banking behavior to Credit Risk Analyst.", 2),
-        (low, F.concat(F.lit("Overall extraction confidence ("), F.format_string("%.1f", rounded(c("overall_confidence") * 100, 1)), F.lit("%) is below 80% threshold.")), "Conduct comprehensive Human-in-the-Loop document inspection.", 2),
+    many = lambda name: F.coalesce(c(name), F.array().cast("array<string>"))
+    only = lambda condition, text: F.when(condition, F.array(text)).otherwise(F.array().cast("array<string>"))
+    lacks, low, bounced = F.size("missing_documents") > 0, c("overall_confidence") < PASSES, F.coalesce("n_bounces", F.lit(0)) > 0
+    percent = F.format_string("%.1f", rounded(c("overall_confidence") * 100, 1))
+    # fixed values: the texts, as people read them
+    check, current = "Cross-check original physical/PDF payslip line items.", "Request a current payslip within the required recency window."
+    reasons = F.concat(
+        only(lacks, F.concat(F.lit("Missing mandatory documents: "), F.array_join("missing_documents", ", "))),
+        F.transform(many("contradictions"), lambda x: F.concat(F.lit("Contradiction flagged: "), x)), many("bad_slips"), many("old_slips"),
+        only(bounced, F.concat(F.lit("Detected "), c("n_bounces").cast("string"), F.lit(" inward ECS/cheque bounce(s) in bank statement."))),
+        only(low, F.concat(F.lit("Overall extraction confidence ("), percent, F.lit(f"%) is below {PASSES:.0%} threshold."))),
+    )
+    disputed = F.size(many("contradictions")) > 0
+    actions = F.concat(
+        only(lacks, F.lit("Request missing mandatory documents from loan applicant.")),
+        only(disputed, F.lit("Manual underwriter review required to verify name / income discrepancies.")),
+        F.transform(many("bad_slips"), lambda x: F.lit(check)), F.transform(many("old_slips"), lambda x: F.lit(current)),
+        only(bounced, F.lit("Escalate banking behavior to Credit Risk Analyst.")),
+        only(low, F.lit("Conduct comprehensive Human-in-the-Loop document inspection.")),
     )
-    some = lambda k: F.filter(F.array(*[F.when(r[0], r[k] if k == 1 else F.lit(r[k])) for r in rules]), lambda x: x.isNotNull())
-    rank = F.greatest(*[F.when(r[0], r[3]).otherwise(0) for r in rules])
-    df = df.select("application_id", "overall_confidence", some(1).alias("reasons"), some(2).alias("actions"), F.element_at(F.array(*map(F.lit, ("NONE", "LOW", "MEDIUM", "HIGH"))), rank + 1).alias("priority"))
+    priority = F.when(lacks | disputed, "HIGH").when(F.size(reasons) > 0, "MEDIUM").otherwise("NONE")
+    df = df.select("application_id", "overall_confidence", reasons.alias("reasons"), actions.alias("actions"), priority.alias("priority"))
     return df.withColumn("requires_human_review", F.size("reasons") > 0)
 
 

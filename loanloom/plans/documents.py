@@ -237,7 +237,7 @@ _AT = f"list_position([lower(p) for p in {_ADDRESS}], lower({_CITY}))"
 _LINES = "SELECT application_id, generate_subscripts(l, 1) AS line, unnest(l) AS said FROM (SELECT application_id, [trim(p) for p in string_split(text, chr(10)) if trim(p) <> ''] AS l FROM doc_texts WHERE true_type = 'BANK_STATEMENT')"
 _AMOUNTS = f"[CAST(replace(a, ',', '') AS DOUBLE) for a in regexp_extract_all(said, {q(x.AMOUNT)}, 1) if CAST(replace(a, ',', '') AS DOUBLE) > 0]"
 _LEADING = f"CAST(replace(regexp_extract_all(said, {q(x.AMOUNT)}, 1)[1], ',', '') AS DOUBLE)"
-_TAGGED = f"""SELECT application_id, CASE WHEN credit IS NOT NULL OR (NOT has AND named AND ahead IS NOT NULL) THEN 'SALARY' WHEN NOT salary AND loan AND a[1] IS NOT NULL THEN 'LOAN_EMI' END AS category, CASE WHEN credit IS NOT NULL THEN credit WHEN NOT has AND named AND ahead IS NOT NULL THEN ahead ELSE a[1] END AS amount FROM (
+_TAGGED = f"""SELECT application_id, line, CASE WHEN credit IS NOT NULL OR (NOT has AND named AND ahead IS NOT NULL) THEN 'SALARY' WHEN NOT salary AND loan AND a[1] IS NOT NULL THEN 'LOAN_EMI' END AS category, CASE WHEN credit IS NOT NULL THEN credit WHEN NOT has AND named AND ahead IS NOT NULL THEN ahead ELSE a[1] END AS amount FROM (
  SELECT *, bool_or(credit IS NOT NULL) OVER (PARTITION BY application_id) AS has FROM (
  SELECT *, CASE WHEN salary THEN CASE WHEN len(a) = 1 THEN a[1] WHEN len(a) >= 2 AND a[-1] > a[-2] * 1.2::DOUBLE THEN a[-2] ELSE a[1] END END AS credit, coalesce(z, {", ".join(f"lead(z, {k}) OVER (PARTITION BY application_id ORDER BY line)" for k in range(1, 6))}) AS ahead FROM (
  SELECT *, CASE WHEN {_LEADING} > 0 THEN {_LEADING} END AS z, {_any("upper(said)", x.SALARY)} AS salary, {_any("upper(said)", x.LOAN)} AS loan, {_any("upper(said)", x.SALARY_LINE)} AS named, {_AMOUNTS} AS a FROM lines)))"""
@@ -310,7 +310,7 @@ ORACLE = {
     "d06_itr": _o(_typed("ITR", {"form_type": f"coalesce(upper({_first(x.TEXTS['ITR']['form_type'])}), 'ITR-1')"})),
     "d07_bank_statement": _o(_typed("BANK_STATEMENT", {"bank_name": _BANK})),
     "d07_field_coverage": _o("SELECT 'BANK_STATEMENT' AS doc_class, n, field, coverage FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n, '{n}' AS field, {r(f'avg(CAST({n} IS NOT NULL AS INT))', 4)} AS coverage FROM ({_typed('BANK_STATEMENT', {})})" for n in x.TEXTS["BANK_STATEMENT"]) + ")"),
-    "d08_transactions": _o("SELECT * FROM tagged"),
+    "d08_transactions": _o("SELECT application_id, category, amount FROM tagged"),
     "d09_statement_summary": _o(f"SELECT application_id, count(*) FILTER (WHERE category = 'SALARY') AS n_credits, coalesce({r('avg(amount) FILTER (WHERE category = $$SALARY$$)', 2)}, 0) AS average_salary, {r('coalesce(sum(amount) FILTER (WHERE category = $$LOAN_EMI$$), 0) / greatest(count(*) FILTER (WHERE category = $$SALARY$$), 1)', 2)} AS monthly_obligations, greatest(count(*) FILTER (WHERE category = 'SALARY'), 6) AS months_covered FROM tagged GROUP BY 1"),
     "d10_property_deed": _o(_typed("PROPERTY_DEED", {"title": _TITLE, "city": _CITY, "property_type": _KIND, "carpet_area": f"coalesce({_DEED['carpet_area']}, {_DEED['plot_area']})", "locality": f"CASE WHEN {_AT} > 1 THEN ({_ADDRESS})[{_AT} - 1] END"})),
     "d11_overridden": _o("SELECT application_id, gross_salary, CASE WHEN application_id % 7 = 0 THEN gross_salary - 1 ELSE net_salary END AS net_salary, employee_name, CASE WHEN application_id % 7 = 0 THEN 'employee_id' ELSE '' END AS invalid_fields FROM slips"),

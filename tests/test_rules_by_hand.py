@@ -138,6 +138,43 @@ def test_name_pairs_and_scores(spark):
     assert scores[1] == (3, 0.2) and scores[2] == (0, 1.0) and scores[3] == (5, 0.5)
 
 
+def test_contradictions_and_reasons_one_by_one(spark):
+    names = [(1, "PAN Card", "Mira Solvani", 1), (1, "Salary Slip", "Nikhil Dhanor", 9), (1, "Salary Slip", "Tara Kestur", 2)]
+    pairs = reconcile.name_pairs(spark.createDataFrame(names, "application_id long, document string, name string, place int"), "place")
+    firms = spark.createDataFrame([(1, "Acme", "Zenith Works"), (2, "TCS", "Tata Consultancy Services")], "application_id long, s string, f string")
+    firms = reconcile.employers(firms, "s", "f")
+    slips = [(1, 1, "May 2024", 50000.0, 45000.0, 5000.0), (1, 2, "January 2024", 50000.0, 47000.0, 5000.0), (2, 1, None, 0.0, 0.0, 0.0), (3, 1, "June 2024", 10000.0, 9000.0, 1000.0)]
+    slips = spark.createDataFrame(slips, "application_id long, place int, month_year string, gross_salary double, net_salary double, total_deductions double")
+    statements = spark.createDataFrame([(1,), (3,)], "application_id long")
+    found = spark.createDataFrame([(1, 7, "SALARY", 46000.0), (1, 3, "SALARY", 44000.0), (1, 5, "LOAN_EMI", 45000.0)], "application_id long, line int, category string, amount double")
+    incomes = reconcile.incomes(slips, reconcile.salary_credits(statements, found))
+    got = {(r["application_id"], r["place"]): (r["credited"], r["variance_pct"], r["status"]) for r in incomes.collect()}
+    assert got == {(1, 1): (44000.0, 2.22, "MATCH"), (1, 2): (46000.0, 2.13, "MATCH"), (3, 1): (0.0, 100.0, "DISCREPANCY")}  # the earlier of two equally near
+    texts = {r["application_id"]: (r["contradictions"], r["n_other"]) for r in reconcile.contradictions(pairs, firms, incomes).collect()}
+    names = pairs.first()
+    assert names["name_2"] == "Tara Kestur"  # the first slip's
+    assert texts == {
+        1: ([f"Name mismatch between PAN Card and Salary Slip: 'Mira Solvani' vs 'Tara Kestur' (Similarity: {names['similarity'] * 100:.0f}%)",
+             "Employer mismatch: Payslip employer 'Acme' does not match Form 16 employer 'Zenith Works'."], 1),
+        3: (["Income discrepancy in June 2024: Bank credit (₹0.00) differs significantly from Payslip Net (₹9,000.00)."], 1),
+    }
+    faults = {r["application_id"]: (r["bad_slips"], r["old_slips"]) for r in reconcile.slip_faults(slips, "2024-06-30").collect()}
+    assert faults == {
+        1: (["Payslip #2 (January 2024) arithmetic inconsistency between Gross, Deductions, and Net pay."],
+            ["Payslip #2 (January 2024): Payslip for January 2024 is 5 months old, outside the required last-3-months window."]),
+        2: ([], ["Payslip #1 (None): Payslip month/year was not found on the document."]), 3: ([], []),
+    }
+    row = [(1, 0.734, ["a"], ["x", "y"], ["p"], None, 2), (2, 0.8, [], None, None, None, None)]
+    schema = "application_id long, overall_confidence double, missing_documents array<string>, contradictions array<string>, bad_slips array<string>, old_slips array<string>, n_bounces int"
+    first, second = reconcile.review_routing(spark.createDataFrame(row, schema)).orderBy("application_id").collect()
+    assert first["reasons"] == [
+        "Missing mandatory documents: a", "Contradiction flagged: x", "Contradiction flagged: y", "p", "Detected 2 inward ECS/cheque bounce(s) in bank statement.",
+        "Overall extraction confidence (73.4%) is below 80% threshold.",
+    ]
+    assert (len(first["actions"]), first["priority"], first["requires_human_review"]) == (5, "HIGH", True)
+    assert (second["reasons"], second["actions"], second["priority"], second["requires_human_review"]) == ([], [], "NONE", False)
+
+
 def test_gate_of_reasons(spark):
     for text, due in (("Missing mandatory documents: x", "missing_mandatory_docs"), ("Name mismatch between a", "name_contradiction"), ("Income discrepancy in May", "income_discrepancy"), ("x arithmetic inconsistency", "salary_arithmetic_failure"), ("is Below the Threshold", "low_confidence_gate"), ("1 bounce", "banking_bounce_warning"), ("other", None)):
         assert one(spark, text, reconcile.gate_of) == due
