@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanloom.llm import textbatch
-from loanloom.llm.cluster import mapped, only, written
+from loanloom.llm.cluster import discarded, mapped, only, written
 
 ROWS = 4
 MISS = 1e-7
@@ -152,7 +152,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough; only sets that a pair needs are sent."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    if ids.count() * 8 <= BROADCAST_BYTES:
+        sets = sets.join(F.broadcast(ids), "id", "left_semi")
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     found = found.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return found.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
@@ -250,10 +253,9 @@ def grouped(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> Dat
     sets = written(shingle_sets(docs, members.select("id").distinct(), words), "sets")
     figures = written(shared_shingles(sets), "figures")
     # component starts as the id; members of open buckets are compared round by round
-    # each member knows all its buckets, so that a pair is made in the first one alone
-    homes = members.groupBy("id").agg(F.collect_list("band").alias("bands"))
-    active = members.join(figures.join(homes, "id"), "id").select("band", "id", F.col("id").alias("component"), "n", "c", "bands")
-    active = written(active, "active")
+    active = written(members.join(figures, "id").select("band", "id", F.col("id").alias("component"), "n", "c"), "active")
+    for table in (reps, shared, figures):
+        discarded(table)
     tested = labels = None
     pivots_per_bucket = 1
     while True:
@@ -261,9 +263,15 @@ def grouped(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> Dat
         buckets = written(buckets, "open")
         if buckets.isEmpty():
             break
-        active = active.join(buckets, "band")
+        before, active = active, active.join(buckets, "band")
+        passed = [buckets]
+        if pivots_per_bucket == STEP:
+            # from here on members know all their buckets, so that a pair is made in the first one alone
+            homes = members.join(active.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("band").alias("bands"))
+            active = active.join(homes, "id")
         if pivots_per_bucket == RARE_ROUND:
             active = written(active, "active")
+            passed.append(active)
             pairs, common = rare_partners(sets.join(active.select("id").distinct(), "id", "left_semi"))
             pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = tested.unionByName(pairs)
@@ -286,7 +294,7 @@ def grouped(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> Dat
         both = F.col("n") + F.col("pivot_n")
         near = possible(F.least("c", "pivot_c"), both, percent) & (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
         # a member that has left the first bucket it shares with a pivot was compared or ruled out there
-        first = F.array_min(F.array_intersect("bands", "pivot_of")) == F.col("m.band")
+        first = F.array_min(F.array_intersect("bands", "pivot_of")) == F.col("m.band") if "bands" in active.columns else F.lit(True)
         pairs = active.alias("m").join(other.alias("p"), (F.col("m.band") == F.col("p.band")) & (F.col("component") != F.col("of")) & near & first)
         pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -294,9 +302,11 @@ def grouped(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> Dat
         more = written(linked(pairs, sets, percent), "links")
         if labels is None or not more.isEmpty():  # without new links the components stay as they are
             labels = joined_components(labels, more)
-        active = active.join(pivots.select("band", "id"), ["band", "id"], "left_anti").drop("component")
-        active = active.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "n", "c", "bands")
-        active = written(active, "active")
+        rest = active.join(pivots.select("band", "id"), ["band", "id"], "left_anti").drop("component")
+        rest = written(rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "active")
+        for table in (*passed, before, pivots, more):
+            discarded(table)
+        active = rest
         pivots_per_bucket *= STEP
     result = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"], "left")
     if labels is not None:
