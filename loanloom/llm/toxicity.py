@@ -154,9 +154,21 @@ def _spans(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, begin: np.nd
     return points[begin] - origin, points[end] - origin
 
 
+def _located(p: np.ndarray, text: np.ndarray, whole: np.ndarray, least: float) -> np.ndarray:
+    """Places of the sentences of at least that score and, of texts that count as toxic without one (many weak
+    sentences together), of the strongest, the first of equal ones."""
+    bad = p >= least
+    has = np.zeros(len(whole), bool)
+    has[text[bad]] = True
+    order = np.lexsort((np.arange(len(p)), -p, text))
+    strongest = order[np.unique(text[order], return_index=True)[1]]
+    bad[strongest[(whole[text[strongest]] >= 0.5) & ~has[text[strongest]]]] = True
+    return np.flatnonzero(bad)
+
+
 def score(docs: DataFrame, model: Model | None, least: float = OFFENDS) -> DataFrame:
-    """doc_id, score and offending (the sentences of at least that score, as start:end in code points,
-    comma-joined) of every row of docs."""
+    """doc_id, score and offending (the sentences of at least that score, or the strongest of a text of 0.5 or
+    more without one, as start:end in code points, comma-joined) of every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +176,7 @@ def score(docs: DataFrame, model: Model | None, least: float = OFFENDS) -> DataF
             scores, found = [np.zeros(0)], [""] * batch.num_rows
             for row, whole, p, text, begin, end, data, offsets in _each(sent.value, batch.column(1)):
                 scores.append(whole)
-                bad = np.flatnonzero(p >= least)
+                bad = _located(p, text, whole, least)
                 if len(bad):
                     starts, ends = _spans(data, offsets, text[bad], begin[bad], end[bad])
                     for k, a, b in zip((row + text[bad]).tolist(), starts.tolist(), ends.tolist(), strict=True):
@@ -176,13 +188,13 @@ def score(docs: DataFrame, model: Model | None, least: float = OFFENDS) -> DataF
 
 
 def offending(docs: DataFrame, model: Model | None, least: float = OFFENDS) -> DataFrame:
-    """doc_id, start, end (code points) and score of the sentences that offend."""
+    """doc_id, start, end (code points) and score of the sentences that offend, as score() lists them."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, p, text, begin, end, data, offsets in _each(sent.value, batch.column(1)):
-                bad = np.flatnonzero(p >= least)
+            for row, whole, p, text, begin, end, data, offsets in _each(sent.value, batch.column(1)):
+                bad = _located(p, text, whole, least)
                 starts, ends = _spans(data, offsets, text[bad], begin[bad], end[bad])
                 owner = batch.column(0).take(pa.array(row + text[bad], pa.int64()))
                 yield pa.RecordBatch.from_arrays([owner, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(p[bad], pa.float64())], ["doc_id", "start", "end", "score"])
