@@ -45,3 +45,13 @@ def evaluation(cases: DataFrame, labels: tuple[str, ...]) -> DataFrame:
         rows = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in df.columns])))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def report(sections: dict[str, DataFrame]) -> DataFrame:
+    """A report as tidy rows (section, metric, value) of one-row tables of numbers; each stays one aggregation."""
+    out = None
+    for section, df in sections.items():
+        metrics = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in df.columns])
+        rows = df.select(F.lit(section).alias("section"), F.inline(metrics))
+        out = rows if out is None else out.unionByName(rows)
+    return out

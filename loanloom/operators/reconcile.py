@@ -14,6 +14,7 @@ from loanloom.operators.texts import name_similarity
 NAMED = ("PAN Card", "Aadhaar Card", "Salary Slip", "Form 16", "Bank Statement", "Property Deed")
 REQUIREMENTS = ("PAN Card (Mandatory KYC)", "Aadhaar Card (Mandatory KYC & Address Proof)", "Income Proof (Salary Slips / Form 16 / ITR)", "Bank Account Statement (6 Months Mandatory)", "Property Documents (Sale Deed / Allotment Letter)")
 PASSES = 0.80
+GATES = ("missing_mandatory_docs", "name_contradiction", "income_discrepancy", "salary_arithmetic_failure", "low_confidence_gate", "banking_bounce_warning")
 
 
 def name_pairs(names: DataFrame, by: str | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loanloom.fixtures import once, oracle, view
-from loanloom.operators import documents, matching, reconcile
+from loanloom.operators import benchmarks, documents, matching, monitoring, reconcile
+from loanloom.plans import documents as document_plans
 from loanloom.plans.documents import AS_OF, CHAIN, slips, texts
 from loanloom.plans.listings import CLEAN_SQL, clean
 from loanloom.plans.sql import name_similarity, r
@@ -150,10 +151,26 @@ def a38_reconciliation_quality(spark, sf_dir):
     return reconcile.quality(found)
 
 
+def a46_ingestion_report(spark, sf_dir):
+    """The whole ingestion report: classes, cost of confusions, confidence against right routing, contradictions,
+    runtime figures and gates. An application is routed rightly where people see it if and only if it is known to
+    hold a contradiction or lacks a document."""
+    found = routed(spark, sf_dir).join(trusted(spark, sf_dir).select("application_id", "has_contradiction", F.size("missing_documents").alias("lacks")), "application_id")
+    found = found.withColumn("right", F.col("requires_human_review") == (F.col("has_contradiction") | (F.col("lacks") > 0)))
+    gates = found.select(F.explode("reasons").alias("reason")).select(reconcile.gate_of(F.col("reason")).alias("gate"))
+    sections = {
+        "classification": document_plans.a32_class_summary(spark, sf_dir), "cost": document_plans.a33_class_cost(spark, sf_dir), "brier": monitoring.brier(found, "overall_confidence", "right"),
+        "calibration": monitoring.calibration_error(found, "overall_confidence", "right"), "gate": monitoring.gate_error(found, "overall_confidence", "right", reconcile.PASSES),
+        "reconciliation": a38_reconciliation_quality(spark, sf_dir), "operational": reconcile.operational(found),
+        "gates": gates.agg(*[F.count_if(F.col("gate") == g).alias(g) for g in reconcile.GATES]),
+    }
+    return benchmarks.report(sections)
+
+
 QUERIES = {
     f.__name__: f
     for f in (j07_candidates, w07_mutual_best, j08_assigned, j09_merged, l26_merged_by_city, j10_merged_pair, t04_largest_source, j03_name_pairs, j03_contradictions, j04_incomes, j05_employers, j06_addresses, a54_reconciliation,
-              v08_missing_documents, a55_ingestion_confidence, a56_review_routing, a10_operational, a10_gate_triggers, a38_reconciliation_quality)
+              v08_missing_documents, a55_ingestion_confidence, a56_review_routing, a10_operational, a10_gate_triggers, a38_reconciliation_quality, a46_ingestion_report)
 }
 
 _PLAIN = "nullif(regexp_replace(regexp_replace(trim(lower(locality)), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'), '')"
@@ -276,3 +293,24 @@ ORACLE = {
     "a10_gate_triggers": _d(_GATES),
     "a38_reconciliation_quality": _d(f"SELECT *, {r('2 * precision * recall / greatest(precision + recall, 1e-6::DOUBLE)', 4)} AS f1 FROM (SELECT {r(f'{_TP} / greatest({_ACTUAL}, 1)::DOUBLE', 4)} AS recall, {r(f'{_TP} / greatest(count(*) FILTER (WHERE n_other > 0), 1)::DOUBLE', 4)} AS precision, {r(f'count(*) FILTER (WHERE has_contradiction AND n_other > 0 AND coalesce(action_matched, true)) / greatest({_TP}, 1)::DOUBLE', 4)} AS handling_accuracy, {r('count(*) FILTER (WHERE name_correct) / greatest(count(name_correct), 1)::DOUBLE', 4)} AS name_accuracy, {r('count(*) FILTER (WHERE salary_correct) / greatest(count(salary_correct), 1)::DOUBLE', 4)} AS salary_accuracy, {_ACTUAL} AS actual, {_TP} AS detected FROM document_checks)"),
 }
+
+_JUDGED = "SELECT *, requires_human_review = (has_contradiction OR len(missing) > 0) AS ok FROM routed"
+_GATE_SUMS = ", ".join(f"coalesce(sum(n) FILTER (WHERE gate = '{g}'), 0) AS {g}" for g in reconcile.GATES)
+#: Section -> its one-row query and columns.
+_REPORT = {
+    "classification": (document_plans.ORACLE["a32_class_summary"], ("n", "accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1")),
+    "cost": (document_plans.ORACLE["a33_class_cost"], ("n", "cost_weighted_error")),
+    "brier": (_d(f"SELECT count(*) AS n, {r('avg(pow(overall_confidence - CAST(ok AS INT), 2))', 6)} AS brier FROM ({_JUDGED})"), ("n", "brier")),
+    "calibration": (
+        _d(f"""SELECT {r('sum(n * abs(c - a)) / sum(n)', 6)} AS ece FROM (
+ SELECT least(floor(overall_confidence * 10), 9) AS bin, count(*) AS n, avg(overall_confidence) AS c, avg(CAST(ok AS INT)) AS a FROM ({_JUDGED}) GROUP BY 1)"""), ("ece",),
+    ),
+    "gate": (_d(f"SELECT count(*) AS passing, coalesce({r('avg(1 - CAST(ok AS INT))', 6)}, 0) AS gate_error FROM ({_JUDGED}) WHERE overall_confidence >= 0.8::DOUBLE"), ("passing", "gate_error")),
+    "reconciliation": (ORACLE["a38_reconciliation_quality"], ("recall", "precision", "handling_accuracy", "name_accuracy", "salary_accuracy", "actual", "detected", "f1")),
+    "operational": (ORACLE["a10_operational"], ("total_applications", "stp_rate", "hitl_rate", "mean_confidence", "below_threshold_rate")),
+    "gates": (_d(f"SELECT {_GATE_SUMS} FROM ({_GATES})"), reconcile.GATES),
+}
+ORACLE["a46_ingestion_report"] = " UNION ALL ".join(
+    f"SELECT '{section}' AS section, x.metric AS metric, x.value AS value FROM (SELECT unnest([" + ", ".join(f"{{'metric': '{n}', 'value': CAST({n} AS DOUBLE)}}" for n in names) + f"]) AS x FROM ({sql}))"
+    for section, (sql, names) in _REPORT.items()
+)
