@@ -1,14 +1,14 @@
 """Language identification with a byte convolutional network.
 
 Bytes are embedded, filters of several widths slide over them, each filter keeps its maximum over a
-window, and a softmax layer turns the maxima into languages. It is trained in numpy on a bounded sample of
-labelled documents (SAMPLE_PER_LANGUAGE of each language; all languages, however rare). Each round of
-training draws windows anew from anywhere in each of their texts; of a text with more than EXCERPT
-windows, the executors draw that many from all of it, so that what reaches the driver is bounded in bytes
-by the sample. A text is cut into windows of WINDOW bytes that overlap by the widest filter, all of them
-are scored in batches, and the windows' logits are averaged by bytes.
-
-How it scales: training reads the labels once and a sample of the texts; scoring is one pass without a
+window, and a softmax layer turns the maxima into languages. A text is cut into windows of WINDOW bytes that
+overlap by the widest filter, all of them are scored in batches, and the windows' logits are averaged by bytes.
+It is trained in numpy on a bounded sample of labelled documents (SAMPLE_PER_LANGUAGE of each language; all
+languages, however rare) with their whole texts: their windows are stored as a table, and each round of training
+reads all of them in minibatches, in another order.
+
+How it scales: training reads the labels once and a sample of the texts; the driver holds a partition of the
+sample's windows at a time, however long the texts and however many the languages are. Scoring is one pass without a
 shuffle, and the network (a few thousand numbers, and as many for each language as there are filters) is
 all that is sent out. A long text is scored window by window; nothing of it is held but its bytes.
 
@@ -20,25 +20,27 @@ empty table gives no row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanloom.llm import textbatch
-from loanloom.llm.cluster import mapped, only
+from loanloom.llm.cluster import discarded, mapped, only, written
 
 #: Bound of the training sample: labelled documents of a language.
 SAMPLE_PER_LANGUAGE = 600
-#: Windows that the driver holds of each sampled document, drawn from its whole text.
-EXCERPT = 128
-#: Windows that a round of training draws from each sampled document.
-DRAWN = 3
+#: Rounds of training over all windows of the sample: as many as make VISITS windows, from 1 to ROUNDS.
+ROUNDS, VISITS = 14, 60_000
 #: Bytes of a window; a power of two, so that maxima are taken by halving.
 WINDOW = 256
+#: Windows of a minibatch.
+BATCH = 64
 WIDTHS = {2: 8, 3: 12, 4: 12}
 WIDEST = max(WIDTHS)
 EMBEDDING = 8
@@ -109,56 +111,19 @@ def _padded(data: np.ndarray) -> np.ndarray:
     return np.append(textbatch.LOWER[data], np.uint8(0))
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 14, seed: int = 7) -> Network:
-    """Trains on windows of the texts, some cut short, with Adam on the cross-entropy. Every round draws
-    DRAWN windows from each text."""
-    languages = sorted(set(labels))
+def learned(languages: list[str], rounds: Iterable[Iterable[tuple[np.ndarray, np.ndarray]]], seed: int = 7) -> Network:
+    """Trains on rounds of minibatches (windows, places of their languages), some windows cut short, with Adam on
+    the cross-entropy."""
     random = np.random.default_rng(seed)
     net = Network.fresh(languages, random)
-    number = {x: k for k, x in enumerate(languages)}
-    data, offsets = textbatch.buffers(pa.array(texts, pa.large_string()))
-    padded, counts = _padded(data), -(-np.diff(offsets) // WINDOW)
-    owner = np.repeat(np.flatnonzero(counts), np.minimum(counts, DRAWN)[counts > 0])
-    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    targets = np.array([number[x] for x in labels])[owner]
     parts = ("embedding", "filters", "bias", "dense", "dense_bias")
     first = {p: np.zeros_like(getattr(net, p)) for p in parts}
     second = {p: np.zeros_like(getattr(net, p)) for p in parts}
-    mask, step = Network.mask(), 0
-    for _ in range(rounds):
-        # the nth draw of a text is a random window of its nth part, so that no window is drawn twice
-        parts_of = np.minimum(counts, DRAWN)[owner]
-        low, high = counts[owner] * nth // parts_of, counts[owner] * (nth + 1) // parts_of
-        starts = offsets[owner] + (low + (random.random(len(owner)) * (high - low)).astype(np.int64)) * WINDOW
-        windows = windows_at(padded, starts, offsets[owner + 1])
-        short = random.integers(8, 2 * windows.shape[1], len(windows))
-        windows = np.where(np.arange(windows.shape[1]) < short[:, None], windows, np.uint8(0))
-        order = random.permutation(len(windows))
-        for at in range(0, len(order), 64):
-            own = order[at : at + 64]
-            x, y = windows[own], targets[own]
-            columns = net.columns(x)
-            conv = (columns @ net.filters).reshape(len(x), -1, net.filters.shape[1])
-            where = conv.argmax(axis=1)
-            pooled = np.take_along_axis(conv, where[:, None, :], axis=1)[:, 0] + net.bias
-            hidden = np.maximum(pooled, 0)
-            logits = hidden @ net.dense + net.dense_bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(x)), y] -= 1
-            p /= len(x)
-            grad = {"dense": hidden.T @ p, "dense_bias": p.sum(axis=0)}
-            back = (p @ net.dense.T) * (pooled > 0)
-            grad["bias"] = back.sum(axis=0)
-            rows = np.arange(len(x))[:, None] * conv.shape[1] + where
-            under = columns[rows]  # text, filter, width * embedding
-            grad["filters"] = np.einsum("nf,nfk->kf", back, under) * mask
-            to_bytes = back[:, :, None] * net.filters.T[None]
-            grad["embedding"] = np.zeros_like(net.embedding)
-            byte_at = where[:, :, None] + np.arange(WIDEST)
-            under_bytes = x[np.arange(len(x))[:, None, None], byte_at]
-            np.add.at(grad["embedding"], under_bytes.ravel(), to_bytes.reshape(*byte_at.shape, EMBEDDING).reshape(-1, EMBEDDING))
-            grad["embedding"][0] = 0
+    step = 0
+    for batches in rounds:
+        for windows, y in batches:
+            short = random.integers(8, 2 * windows.shape[1], len(windows))
+            grad = gradient(net, np.where(np.arange(windows.shape[1]) < short[:, None], windows, np.uint8(0)), y)
             step += 1
             for name in parts:
                 first[name] += 0.1 * (grad[name] - first[name])
@@ -167,47 +132,98 @@ def fit(texts: list[str], labels: list[str], rounds: int = 14, seed: int = 7) ->
     return net
 
 
-def excerpts(docs: DataFrame) -> DataFrame:
-    """The rows of docs (text first) with at most EXCERPT windows of each text: all of it up to that size, else
-    a window at random from each of EXCERPT equal parts of it."""
-    size = EXCERPT * WINDOW
+def gradient(net: Network, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of windows x with languages y, by each part of the network; the embedding of
+    byte 0 (padding) stays zero."""
+    columns = net.columns(x)
+    conv = (columns @ net.filters).reshape(len(x), -1, net.filters.shape[1])
+    where = conv.argmax(axis=1)
+    pooled = np.take_along_axis(conv, where[:, None, :], axis=1)[:, 0] + net.bias
+    hidden = np.maximum(pooled, 0)
+    logits = hidden @ net.dense + net.dense_bias
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(x)), y] -= 1
+    p /= len(x)
+    grad = {"dense": hidden.T @ p, "dense_bias": p.sum(axis=0)}
+    back = (p @ net.dense.T) * (pooled > 0)
+    grad["bias"] = back.sum(axis=0)
+    rows = np.arange(len(x))[:, None] * conv.shape[1] + where
+    under = columns[rows]  # text, filter, width * embedding
+    grad["filters"] = np.einsum("nf,nfk->kf", back, under) * Network.mask()
+    to_bytes = back[:, :, None] * net.filters.T[None]
+    grad["embedding"] = np.zeros_like(net.embedding)
+    byte_at = where[:, :, None] + np.arange(WIDEST)
+    under_bytes = x[np.arange(len(x))[:, None, None], byte_at]
+    np.add.at(grad["embedding"], under_bytes.ravel(), to_bytes.reshape(*byte_at.shape, EMBEDDING).reshape(-1, EMBEDDING))
+    grad["embedding"][0] = 0
+    return grad
+
+
+def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS, seed: int = 7) -> Network:
+    """Trains on all windows of texts in memory, each round in another order."""
+    languages = sorted(set(labels))
+    random = np.random.default_rng(seed)
+    data, offsets = textbatch.buffers(pa.array(texts, pa.large_string()))
+    text, start, _ = placed(offsets)
+    windows = windows_at(_padded(data), start, offsets[text + 1])
+    targets = np.searchsorted(languages, labels)[text]
+
+    def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = random.permutation(len(windows))
+        for at in range(0, len(order), BATCH):
+            yield windows[order[at : at + BATCH]], targets[order[at : at + BATCH]]
+
+    return learned(languages, (batches() for _ in range(rounds)), seed)
+
+
+def labelled_windows(docs: DataFrame) -> DataFrame:
+    """lang and window (its bytes, lower-cased) of all windows of docs (text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(13)
         for batch in batches:
-            texts = []
-            for text in batch.column(0):
-                raw = text.as_buffer() if text.is_valid else None
-                if raw is not None and raw.size > size:
-                    parts = np.linspace(0, raw.size - WINDOW, EXCERPT + 1).astype(np.int64)
-                    starts = [int(random.integers(a, max(a + 1, b))) for a, b in zip(parts, parts[1:])]
-                    whole = memoryview(raw)
-                    raw = b" ".join(bytes(whole[a : a + WINDOW]) for a in starts)
-                texts.append(None if raw is None else bytes(raw).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], batch.schema.names)
+            for row, data, offsets in textbatch.blocks(batch.column(0)):
+                text, start, _ = placed(offsets)
+                padded = _padded(data)
+                for at in range(0, len(text), 4096):
+                    own = slice(at, at + 4096)
+                    windows = windows_at(padded, start[own], offsets[text[own] + 1])
+                    each = [w.tobytes() for w in windows]
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row + text[own])), pa.array(each, pa.binary())], ["lang", "window"])
+
+    return mapped(docs.select("text", "lang"), run, "lang string, window binary")
 
-    return mapped(docs, run, docs.schema)
+
+def _round(table: DataFrame, languages: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Minibatches of all windows of the table in the order of round k; the driver holds one partition at a time."""
+    rows = iter(table.orderBy(F.xxhash64("window", "lang", F.lit(k)), "window", "lang").toLocalIterator())
+    while own := list(islice(rows, BATCH)):
+        windows = np.frombuffer(b"".join(bytes(r["window"]) for r in own), np.uint8).reshape(len(own), -1)
+        yield windows, np.searchsorted(languages, [r["lang"] for r in own])
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
-    """Learns from text and non-null lang of the documents that aren't held out. The sample of each
-    language is a share of its documents by a hash of the id, and per_language at most."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True))).select("text", "doc_id", "lang")
+    """Learns from text and non-null lang of the documents that aren't held out. The sample of each language is
+    the first per_language of its documents by a hash of id and text (rows that repeat as a whole are drawn together)."""
+    usable = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~F.coalesce(held_out(), F.lit(True))).select("text", "doc_id", "lang")
     counts = usable.groupBy("lang").count().collect()
     if not counts:
         return None
-    order = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    order = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
     share = F.create_map([x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * per_language / r["count"] + 20 / r["count"])))])
-    picked = usable.where(order < F.element_at(share, F.col("lang")) * F.lit(1 << 30)).withColumn("order", order)
-    bound = int(1.6 * per_language + 40) * len(counts)
-    rows = excerpts(picked).orderBy("order", "doc_id").limit(bound).select("text", "lang").collect()
-    taken: dict[str, int] = {}
-    sample = []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_language and r["text"]:
-            sample.append((r["text"], r["lang"]))
-    return fit([t for t, _ in sample], [x for _, x in sample]) if sample else None
+    picked = usable.where(order < F.element_at(share, F.col("lang")) * F.lit(1 << 30))
+    # a limit by rank is applied in each task before the shuffle, so repeated rows don't swell a language's group
+    first = W.partitionBy("lang").orderBy(order, "doc_id")
+    sample = picked.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language)
+    table = written(labelled_windows(sample), "language-windows")
+    found = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}
+    if not found:
+        return None
+    rounds = max(1, min(ROUNDS, -(-VISITS // sum(found.values()))))
+    languages = sorted(found)
+    net = learned(languages, (_round(table, languages, k) for k in range(rounds)))
+    discarded(table)
+    return net
 
 
 def _scored(net: Network | None, column: pa.Array, has_letter: pa.Array) -> tuple[list[str], list[float]]:

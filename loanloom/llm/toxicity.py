@@ -80,10 +80,10 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int = 150, rare: int = 3, sparse: float = 0.0002) -> Model:
+def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int = 150, sparse: float = 0.0002) -> Model:
     """Minimises the weighted log loss of the noisy-or with Adam; weights undo the sampling of labels.
-    Features of fewer than rare documents can't be told from noise and get no weight, an L1 penalty zeroes what tells little, and
-    a leak takes the labels that no sentence explains; it isn't part of the model."""
+    An L1 penalty zeroes what tells little, and a leak takes the labels that no sentence explains; it isn't part of
+    the model. Features of a single document have weights like any other, if the penalty leaves them one."""
     words, sentence, doc, n_sentences = [], [], [], 0
     for row, data, offsets in textbatch.blocks(pa.array(texts, pa.large_string())):
         b, s, t, _, _ = bags(data, offsets)
@@ -94,10 +94,6 @@ def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int =
     words, sentence, doc = np.concatenate(words), np.concatenate(sentence), np.concatenate(doc)
     y, importance = np.array(labels, float), np.array(weights, float)
     importance /= importance.sum()
-    pairs = np.unique(words * len(texts) + doc[sentence])  # a bucket counts once in a document
-    spread = np.bincount(pairs // len(texts), minlength=1 << BITS)
-    usable = spread[words] >= rare
-    words, sentence = words[usable], sentence[usable]
     used, column = np.unique(words, return_inverse=True)
     theta = np.zeros(len(used) + 2)  # weights, sentence bias, leak
     theta[-2:] = -6.0, -4.0

@@ -34,9 +34,15 @@ def test_models_learn_from_whole_texts(spark, monkeypatch):
     """The last word of a text of more than 20,000 characters is in the training sample of each model."""
     table = docs(spark, [(k, prose(3000) + f" 12{k} lastword") for k in range(12)])
     seen = []
-    for module in (language_id, personal_data, toxicity):
+    for module in (personal_data, toxicity):
         monkeypatch.setattr(module, "fit", lambda texts, *rest: seen.append(texts))
+    windows = []
+    monkeypatch.setattr(language_id, "learned", lambda languages, rounds: windows.extend(w.tobytes().rstrip(b"\0").decode() for batch, _ in next(iter(rounds)) for w in batch))
     language_id.train(table)
+    ends = {w for w in windows if len(w) < language_id.WINDOW and "lastword".endswith(w[-8:])}
+    learning = table.where(~language_id.held_out()).count()
+    assert len(ends) == learning and len(windows) > learning * 20_000 // language_id.WINDOW
+    seen.append([r["text"] for r in table.collect() if any(r["text"].endswith(w) for w in ends)])
     personal_data.train(table)
     toxicity.train(table, spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int"))
     assert len(seen) == 3 and all(texts and all(t.endswith("lastword") for t in texts) for texts in seen)
