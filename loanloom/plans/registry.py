@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that hold QUERIES (name -> callable) and ORACLE (name -> SQL).
-FAMILIES: list[str] = ["credit", "monitoring", "compliance", "decisions", "listings", "resolution", "documents", "provenance", "validations", "records", "intake", "texts"]
+FAMILIES: list[str] = ["credit", "monitoring", "compliance", "decisions", "listings", "resolution", "documents", "provenance", "validations", "records", "intake", "texts", "evaluation"]
 
 
 def queries() -> dict:
