@@ -17,7 +17,7 @@ def test_decisions_by_hand(spark):
     got = report(e.decisions(spark.createDataFrame(rows, CASES), spark.createDataFrame(log, AUDIT), m.LABELS))
     assert got["summary", "accuracy"] == 0.75 and got["summary", "cost_weighted_error"] == 0.5
     assert got["class", "DENY.precision"] == 0.5 and got["class", "DENY.recall"] == 1.0
-    assert got["confusion", "APPROVE>DENY"] == 1 and got["confusion", "DENY>APPROVE"] == 0
+    assert got["confusion", "APPROVE>DENY.n"] == 1 and got["confusion", "DENY>APPROVE.n"] == 0
     assert got["ranking", "auc"] == round(2.5 / 3, 6)  # two above the denied one, one tied with it
     assert got["confidence", "brier"] == round((0.05**2 + 0.55**2 + 0.15**2 + 0.35**2) / 4, 6)
     assert got["reliability", "5.accuracy"] == 0.0 and got["reliability", "9.n"] == 1
@@ -26,7 +26,7 @@ def test_decisions_by_hand(spark):
 
 def test_empty_tables(spark):
     got = report(e.decisions(spark.createDataFrame([], CASES), spark.createDataFrame([], AUDIT), m.LABELS))
-    assert got["summary", "n"] == 0 and got["summary", "accuracy"] is None and got["confusion", "DENY>DENY"] == 0
+    assert got["summary", "n"] == 0 and got["summary", "accuracy"] is None and got["confusion", "DENY>DENY.n"] == 0
     assert got["ranking", "auc"] is None and not any(section in ("reliability", "gate") for section, _ in got)
     assert got["runtime", "n"] == 0 and got["runtime", "suspend_rate"] is None
 
