@@ -67,9 +67,10 @@ def salary_credits(statements: DataFrame, found: DataFrame) -> DataFrame:
     return statements.select("application_id").distinct().join(rows, "application_id", "left")
 
 
-def contradictions(pairs: DataFrame, found_employers: DataFrame, found_incomes: DataFrame) -> DataFrame:
-    """One row an application that has any: the texts of its contradictions (names by pair, then the employer, then
-    payslips in order) and n_other, how many of them aren't about names."""
+def compared(pairs: DataFrame, found_employers: DataFrame, found_incomes: DataFrame) -> DataFrame:
+    """One row an application with anything to compare: the texts of its contradictions (names by pair, then the
+    employer, then payslips in order), n_names and n_other, how many of them are about names and how many aren't, and the
+    mean similarity of its name pairs. Each input is read once: rows that agree have no text, they aren't filtered."""
     c = F.col
     place = lambda name: F.array_position(F.array(*map(F.lit, NAMED)), c(name)).cast("int")
     said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
@@ -79,12 +80,18 @@ def contradictions(pairs: DataFrame, found_employers: DataFrame, found_incomes:
     names = said("Name mismatch between ", c("document_1"), " and ", c("document_2"), ": '", c("name_1"), "' vs '", c("name_2"), "' (Similarity: ", percent, "%)")
     employer = said("Employer mismatch: Payslip employer '", c("slip_employer"), "' does not match Form 16 employer '", c("form_employer"), "'.")
     income = said("Income discrepancy in ", c("month_year"), ": Bank credit (", money("credited"), ") differs significantly from Payslip Net (", money("net_salary"), ").")
-    row = lambda df, kind, at, text: df.select("application_id", F.lit(kind).alias("kind"), at.cast("long").alias("at"), text.alias("text"))
-    rows = row(pairs.where("status = 'MISMATCH'"), 1, place("document_1") * 10 + place("document_2"), names)
-    rows = rows.unionByName(row(found_employers.where("status = 'MISMATCH'"), 2, F.lit(0), employer))
-    rows = rows.unionByName(row(found_incomes.where("status = 'DISCREPANCY'"), 3, c("place"), income))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("kind", "at", "text"))), lambda x: x["text"])
-    return rows.groupBy("application_id").agg(texts.alias("contradictions"), F.count_if(c("kind") > 1).alias("n_other"))
+    row = lambda df, kind, at, bad, text, score: df.select("application_id", F.lit(kind).alias("kind"), at.cast("long").alias("at"), F.when(c("status") == bad, text).alias("text"), score.cast("double").alias("score"))
+    rows = row(pairs, 1, place("document_1") * 10 + place("document_2"), "MISMATCH", names, c("similarity"))
+    rows = rows.unionByName(row(found_employers, 2, F.lit(0), "MISMATCH", employer, F.lit(None)))
+    rows = rows.unionByName(row(found_incomes, 3, c("place"), "DISCREPANCY", income, F.lit(None)))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(c("text").isNotNull(), F.struct("kind", "at", "text")))), lambda x: x["text"])
+    many = lambda which: F.count_if(which & c("text").isNotNull())
+    return rows.groupBy("application_id").agg(texts.alias("contradictions"), many(c("kind") == 1).alias("n_names"), many(c("kind") > 1).alias("n_other"), F.avg("score").alias("mean"))
+
+
+def contradictions(pairs: DataFrame, found_employers: DataFrame, found_incomes: DataFrame) -> DataFrame:
+    """The applications of compared() that have contradictions: their texts and n_other."""
+    return compared(pairs, found_employers, found_incomes).where(F.size("contradictions") > 0).select("application_id", "contradictions", "n_other")
 
 
 def slip_faults(slips: DataFrame, as_of: str, window: int = 3) -> DataFrame:
@@ -117,9 +124,15 @@ def reconciliation(pairs: DataFrame, others: DataFrame) -> DataFrame:
     each contradiction, 0.5 at most, not below 0.2. others: application_id and n_other contradictions of all
     applications."""
     names = pairs.groupBy("application_id").agg(F.avg("similarity").alias("mean"), F.count_if(F.col("status") == "MISMATCH").alias("n_names"))
-    df = others.join(names, "application_id", "left").select("application_id", F.coalesce("mean", F.lit(1.0)).alias("mean"), (F.coalesce("n_names", F.lit(0)) + F.col("n_other")).alias("n_contradictions"))
-    less = F.when(F.col("n_contradictions") > 0, F.greatest(F.lit(0.2), F.col("mean") - F.least(F.lit(0.5), 0.15 * F.col("n_contradictions")))).otherwise(F.col("mean"))
-    return df.select("application_id", "n_contradictions", rounded(less, 3).alias("reconciliation_score"))
+    return reconciled(others.join(names, "application_id", "left")).select("application_id", "n_contradictions", "reconciliation_score")
+
+
+def reconciled(df: DataFrame) -> DataFrame:
+    """df with n_contradictions and reconciliation_score from mean, n_names and n_other (null: nothing to compare)."""
+    c = F.col
+    df = df.withColumns({"n_contradictions": F.coalesce("n_names", F.lit(0)) + F.coalesce("n_other", F.lit(0)), "mean": F.coalesce("mean", F.lit(1.0))})
+    less = F.when(c("n_contradictions") > 0, F.greatest(F.lit(0.2), c("mean") - F.least(F.lit(0.5), 0.15 * c("n_contradictions")))).otherwise(c("mean"))
+    return df.withColumn("reconciliation_score", rounded(less, 3))
 
 
 def missing_documents(c) -> Column:
@@ -144,8 +157,8 @@ def ingestion_confidence(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence_level", F.when(c("overall_confidence") >= PASSES, "HIGH").when(c("overall_confidence") >= 0.7, "MEDIUM").otherwise("LOW"))
 
 
-def review_routing(df: DataFrame) -> DataFrame:
-    """application_id with whether people have to look, the priority, and reasons and actions in order: one reason
+def review_routing(df: DataFrame, *keep: Column) -> DataFrame:
+    """application_id (and what else is to be kept) with whether people have to look, the priority, and reasons and actions in order: one reason
     for each contradiction and each faulty payslip. It needs the columns of ingestion_confidence() and contradictions,
     bad_slips and old_slips (arrays of texts, null: none) and n_bounces."""
     c = F.col
@@ -170,7 +183,7 @@ def review_routing(df: DataFrame) -> DataFrame:
         only(low, F.lit("Conduct comprehensive Human-in-the-Loop document inspection.")),
     )
     priority = F.when(lacks | disputed, "HIGH").when(F.size(reasons) > 0, "MEDIUM").otherwise("NONE")
-    df = df.select("application_id", "overall_confidence", reasons.alias("reasons"), actions.alias("actions"), priority.alias("priority"))
+    df = df.select("application_id", *keep, "overall_confidence", reasons.alias("reasons"), actions.alias("actions"), priority.alias("priority"))
     return df.withColumn("requires_human_review", F.size("reasons") > 0)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loanloom.functions.columns import lookup, rounded
+from loanloom.functions.names import bound
 
 #: Common spellings of cities and the one used.
 CITY = {
@@ -31,16 +32,23 @@ def _words(clean: Column) -> Column:
 def name_similarity(a: Column, b: Column) -> Column:
     """0 to 1: shared words, initials counted half, and the common prefix, weighted 0.7 and 0.3. Names
     that are equal but for case and punctuation give 1, missing ones 0."""
-    x, y = (F.trim(F.regexp_replace(F.lower(n), r"[^a-z0-9\s]", "")) for n in (a, b))
-    p, q = F.array_distinct(_words(x)), F.array_distinct(_words(y))
+    # bound: lambdas would work out the cleaned names and their words anew for each word and letter
+    clean = lambda n: F.trim(F.regexp_replace(F.lower(n), r"[^a-z0-9\s]", ""))
     initial = lambda s, t: (F.length(s) == 1) & F.startswith(t, s)
-    initials = F.size(F.flatten(F.transform(p, lambda s: F.filter(q, lambda t: initial(s, t) | initial(t, s)))))
-    by_words = F.try_divide(F.size(F.array_intersect(p, q)) + 0.5 * initials, F.greatest(F.size(p), F.size(q)))
-    shorter, both = F.least(F.length(x), F.length(y)), F.length(x) + F.length(y)
-    prefix = F.when(shorter > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: F.left(x, i) == F.left(y, i)))).otherwise(0)
-    score = F.least(F.lit(1.0), 0.7 * by_words + 0.3 * F.try_divide(prefix + shorter, both))
+
+    def of(n: Column) -> Column:
+        x, y, p, q = n["x"], n["y"], n["p"], n["q"]
+        initials = F.size(F.flatten(F.transform(p, lambda s: F.filter(q, lambda t: initial(s, t) | initial(t, s)))))
+        by_words = F.try_divide(F.size(F.array_intersect(p, q)) + 0.5 * initials, F.greatest(F.size(p), F.size(q)))
+        shorter, both = F.least(F.length(x), F.length(y)), F.length(x) + F.length(y)
+        prefix = F.when(shorter > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: F.left(x, i) == F.left(y, i)))).otherwise(0)
+        score = F.least(F.lit(1.0), 0.7 * by_words + 0.3 * F.try_divide(prefix + shorter, both))
+        return F.when((F.size(p) == 0) | (F.size(q) == 0), 0.0).otherwise(rounded(score, 3))
+
+    words = lambda n: F.array_distinct(_words(n))
+    differing = lambda n: bound(of, x=n["x"], y=n["y"], p=words(n["x"]), q=words(n["y"]))
     missing = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
-    return F.when(missing, 0.0).when(x == y, 1.0).when((F.size(p) == 0) | (F.size(q) == 0), 0.0).otherwise(rounded(score, 3))
+    return F.when(missing, 0.0).otherwise(bound(lambda n: F.when(n["x"] == n["y"], 1.0).otherwise(differing(n)), x=clean(a), y=clean(b)))
 
 
 def field_words(x: Column) -> Column:
