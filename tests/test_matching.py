@@ -147,3 +147,37 @@ def test_assignment_by_components_and_by_rounds(spark, most):
     odd = [(None, 1, 0.9), (1, None, 0.9), (1, 1, None)]
     pairs = spark.createDataFrame([*rows, *odd], "a long, b long, score double")
     assert {(r["a"], r["b"]) for r in matching.assigned(pairs, most).collect()} == greedy([(a, b, s) for (a, b), s in best.items()])
+
+
+def _many(spark, seed):
+    """Two sides of listings with many equal scores, some without locality or bedrooms."""
+    rnd = random.Random(seed)
+    rows = [(k, rnd.choice("XY"), rnd.choice(("L1", "L2", None)), rnd.choice((1, 2, None)), float(rnd.choice((600, 620, 900))), rnd.choice((None, 1e6, 2e6))) for k in range(160)]
+    df = spark.createDataFrame(rows, "listing_id long, city string, locality string, bedrooms int, area_sqft double, price_inr double")
+    return df.where("listing_id % 2 = 0"), df.where("listing_id % 2 = 1")
+
+
+def test_matched_without_a_table_of_pairs(spark):
+    a, b = _many(spark, 5)
+    pairs = [(r["a"], r["b"], r["score"]) for r in matching.candidates(a, b).collect()]
+    left, right, greedy = set(), set(), []
+    for x, y, score in sorted(pairs, key=lambda p: (-p[2], -p[0], -p[1])):
+        if x not in left and y not in right:
+            left.add(x), right.add(y), greedy.append((x, y, score))
+    for few in (len(pairs) // 3, len(pairs)):  # some rounds before the rest is walked; none
+        assert sorted(tuple(r) for r in matching.matched(a, b, few=few).select("a", "b", "score").collect()) == sorted(greedy)
+    mutual = sorted(tuple(r) for r in matching.best_of_both(matching.candidates(a, b)).collect())
+    assert sorted(tuple(r) for r in matching.mutual_best(a, b).select("a", "b", "score").collect()) == mutual
+
+
+def test_best_pairs_are_found_without_sorting_them(spark):
+    a, b = _many(spark, 6)
+    plan = matching._best(matching.candidates(a, b))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Window" not in plan
+
+
+def test_ids_that_do_not_fit_beside_a_score(spark):
+    a, b = _many(spark, 7)
+    far = a.withColumn("listing_id", a["listing_id"] + matching.IDS)
+    plain = {(r["a"], r["b"]) for r in matching.matched(a, b).collect()}
+    assert {(r["a"] - matching.IDS, r["b"]) for r in matching.matched(far, b).collect()} == plain
