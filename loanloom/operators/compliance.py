@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.config import COMPLIANCE
-from loanloom.functions.columns import present, rounded
+from loanloom.functions.columns import dated, present, rounded
 from loanloom.functions.names import token_sort_reaches
 
 #: Cities of the metro ceiling, attributes that no decision may use, the documents a file needs
@@ -26,7 +26,7 @@ def pan_key(x: Column) -> Column:
 def birth_date(text: Column) -> Column:
     """The ISO date of a text in one of DATE_FORMATS; any other text stays as it is, trimmed."""
     clean = F.trim(text)
-    return F.coalesce(*[F.try_to_date(clean, f).cast("string") for f in DATE_FORMATS], clean)
+    return F.coalesce(*[dated(clean, f).cast("string") for f in DATE_FORMATS], clean)
 
 
 def city_tier(city: Column) -> Column:

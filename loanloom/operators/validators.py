@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.functions.columns import rounded
+from loanloom.functions.columns import dated, rounded
 from loanloom.operators.documents import month
 
 #: The format of a PAN (its fourth letter is the holder's kind) and the ages allowed.
@@ -34,7 +34,7 @@ BORN = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "d/M/yy")
 
 
 def _born(text: Column) -> Column:
-    *whole, short = [F.try_to_date(F.trim(text), f) for f in BORN]
+    *whole, short = [dated(F.trim(text), f) for f in BORN]
     # years of two digits are those from 1969 to 2068
     return F.coalesce(*whole, F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short))
 
@@ -46,7 +46,11 @@ def _year(text: Column) -> Column:
 def age(text: Column, as_of: str) -> Column:
     """Complete years from a date text to as_of, or from a bare year; null where it is neither."""
     today = F.lit(as_of).cast("date")
-    return F.coalesce(F.floor(F.months_between(today, _born(text)) / 12), F.year(today) - _year(text)).cast("int")
+    return _age(_born(text), text, today)
+
+
+def _age(whole: Column, text: Column, today: Column) -> Column:
+    return F.coalesce(F.floor(F.months_between(today, whole) / 12), F.year(today) - _year(text)).cast("int")
 
 
 def age_allowed(text: Column, as_of: str) -> Column:
@@ -129,8 +133,9 @@ def salary_result(gross: Column, net: Column, less: Column, earnings: Column) ->
     )
 
 
-def recency_result(said: Column, as_of: str, window: int = 3) -> Column:
-    m, today = month(said), F.lit(as_of).cast("date")
+def recency_result(said: Column, as_of: str, window: int = 3, m: Column | None = None) -> Column:
+    """m is month(said), where it is at hand."""
+    m, today = month(said) if m is None else m, F.lit(as_of).cast("date")
     old = (F.year(today) - F.year(m)) * 12 + F.month(today) - F.month(m)
     return _result(
         (_blank(said), "payslip_recency", False, "WARNING", "Payslip month/year was not found on the document."),
@@ -152,12 +157,13 @@ def years_result(assessment: Column, financial: Column) -> Column:
     )
 
 
-def age_result(born: Column, as_of: str) -> Column:
-    years = age(born, as_of)
+def age_result(born: Column, as_of: str, whole: Column | None = None, years: Column | None = None) -> Column:
+    """whole and years are the date and the age that born says, where they are at hand."""
+    whole, years = _born(born) if whole is None else whole, age(born, as_of) if years is None else years
     return _result(
         (_blank(born), "dob", False, "ERROR", "Date of Birth is missing."),
-        (_born(born).isNull() & _year(born).isNotNull(), "dob", True, "INFO", _say("Calculated age from YOB: ", years, " years.")),
-        (_born(born).isNull(), "dob", False, "WARNING", _say("Could not parse DOB format: '", born, "'.")),
+        (whole.isNull() & _year(born).isNotNull(), "dob", True, "INFO", _say("Calculated age from YOB: ", years, " years.")),
+        (whole.isNull(), "dob", False, "WARNING", _say("Could not parse DOB format: '", born, "'.")),
         (years < YOUNGEST, "age", False, "ERROR", _say("Applicant age (", years, " yrs) is below minimum underwriting threshold (21 yrs).")),
         (years > OLDEST, "age", False, "WARNING", _say("Applicant age (", years, " yrs) exceeds standard loan maturity threshold (65 yrs).")),
         (None, "age", True, "INFO", _say("Applicant age is ", years, " years (within eligible 21-65 range).")),
@@ -169,10 +175,12 @@ def validations(df: DataFrame, as_of: str, key: str = "application_id") -> DataF
     columns pan_number, surname, aadhaar_number, ifsc_code, gross_salary, net_salary, total_deductions, earnings_sum, month_year,
     assessment_year, financial_year and dob. What is null is missing; each check says what that means."""
     c = F.col
+    # dates are read once, in a projection of their own; the checks ask for them again and again
+    df = df.withColumns({"_month": month(c("month_year")), "_born": _born(c("dob"))}).withColumn("_age", _age(c("_born"), c("dob"), F.lit(as_of).cast("date")))
     checks = F.array(
         pan_result(c("pan_number"), c("surname")), aadhaar_result(c("aadhaar_number")), ifsc_result(c("ifsc_code")),
-        salary_result(c("gross_salary"), c("net_salary"), c("total_deductions"), c("earnings_sum")), recency_result(c("month_year"), as_of),
-        years_result(c("assessment_year"), c("financial_year")), age_result(c("dob"), as_of),
+        salary_result(c("gross_salary"), c("net_salary"), c("total_deductions"), c("earnings_sum")), recency_result(c("month_year"), as_of, m=c("_month")),
+        years_result(c("assessment_year"), c("financial_year")), age_result(c("dob"), as_of, c("_born"), c("_age")),
     )
     return df.select(key, F.inline_outer(checks))
 
