@@ -336,6 +336,8 @@ def review_items(staged: DataFrame) -> DataFrame:
         some(F.coalesce("estimated_value", F.lit(0.0)) <= 0, item("Property valuation unavailable", F.lit("High"), "Property Agent", F.lit("No comparable listings were found."))),
     )
     alone = some(c("human_review"), item("Decision requires human review", F.lit("Medium"), "Decision Agent", c("rationale")))
-    rows = staged.withColumn("items", F.when(F.size(found) > 0, found).otherwise(alone)).select("application_id", F.posexplode("items").alias("k", "x"))
+    rows = staged.withColumn("items", found).withColumn("items", F.when(F.size("items") > 0, c("items")).otherwise(alone))
+    # of posexplode() the optimizer infers a filter on the items, which would work out all they come from once more
+    rows = rows.select("application_id", F.posexplode_outer("items").alias("k", "x")).where("x is not null")
     number = F.concat(F.lit("RV-"), c("application_id").cast("string"), F.lit("-"), (c("k") + 1).cast("string"))
     return rows.select("application_id", number.alias("item_id"), "x.title", "x.severity", "x.owner", "x.evidence")
