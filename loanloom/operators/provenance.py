@@ -4,12 +4,14 @@ around them, with a lower confidence. All of it is one projection for each class
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.functions.columns import lookup
+from loanloom.functions.names import bound
 from loanloom.operators import documents as x
 
 #: The fields of each class: name, confidence, what is shown (the whole match, the match without white
@@ -92,23 +94,31 @@ def _holds(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(w)) for w in words))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once for a row."""
+    return bound(lambda s: use(s["v"]), v=value)
+
+
 def _item(value: Column, snippet: Column, start: Column, confidence: float) -> Column:
     """The found field as a struct; null where the value is."""
     return F.when(value.isNotNull(), F.struct(value.alias("value"), snippet.alias("snippet"), start.cast("int").alias("start"), F.lit(confidence).alias("confidence")))
 
 
 def _matched(t: Column, pattern: str, confidence: float, shows: str) -> Column:
-    value = F.nullif(_trim(F.regexp_extract(t, pattern, 1)), F.lit(""))
-    whole = F.regexp_extract(t, pattern, 0)
-    snippet = {"match": whole, "trimmed": _trim(whole), "value": value}[shows]
-    return _item(value, snippet, F.regexp_instr(t, F.lit(pattern)), confidence)
+    def item(value):
+        whole = F.regexp_extract(t, pattern, 0)
+        snippet = value if shows == "value" else whole if shows == "match" else _trim(whole)
+        return _item(value, snippet, F.regexp_instr(t, F.lit(pattern)), confidence)
+
+    # the value is matched once; the rest is looked for only where there is one
+    return once(F.nullif(_trim(F.regexp_extract(t, pattern, 1)), F.lit("")), item)
 
 
 def _shown(t: Column, lines: Column, kind: str) -> dict[str, Column]:
     """The found fields of a class as structs (value, snippet, start, confidence)."""
     found = {name: [_matched(t, p, confidence, shows) for p in patterns] for name, confidence, shows, patterns in RULES[kind]}
     place = lambda v: F.nullif(F.position(v, t), F.lit(0))
-    plain = lambda v, confidence: _item(v, v, place(v), confidence)
+    plain = lambda v, confidence: once(v, lambda w: _item(w, w, place(w), confidence))
     first = lambda xs: F.get(xs, F.lit(0))
     said = F.filter(F.transform(lines, _trim), lambda v: v != "")
     if kind == "PAN_CARD":
@@ -124,10 +134,12 @@ def _shown(t: Column, lines: Column, kind: str) -> dict[str, Column]:
         found["employer_name"].append(plain(first(F.filter(said, lambda v: ~_holds(v, NOT_EMPLOYERS))), WITHOUT_LABEL[kind]))
     if kind == "BANK_STATEMENT":
         other = F.nullif(_trim(F.regexp_extract(t, HOLDER, 1)), F.lit(""))
-        found["account_holder"].append(F.when(~_holds(other, NOT_HOLDERS), plain(other, WITHOUT_LABEL[kind])))
-        known = [(b, rf"(?i)\b{b}\b") for b in x.BANKS]
-        bank = F.coalesce(*[F.when(t.rlike(p), b) for b, p in known], F.lit("Scheduled Commercial Bank"))
-        found["bank_name"] = [_item(bank, bank, F.coalesce(*[F.nullif(F.regexp_instr(t, F.lit(p)), F.lit(0)) for _, p in known]), BANK_CONFIDENCE)]
+        found["account_holder"].append(once(other, lambda v: F.when(~_holds(v, NOT_HOLDERS), _item(v, v, place(v), WITHOUT_LABEL[kind]))))
+        # a bank's pattern is looked for only where its name is; the first that is there counts, with its place
+        low = F.lower(t)
+        at = [F.when(F.contains(low, F.lit(b.lower())), F.nullif(F.regexp_instr(t, F.lit(rf"(?i)\b{b}\b")), F.lit(0))) for b in x.BANKS]
+        first_bank = F.coalesce(*[once(a, lambda v, b=b: F.when(v.isNotNull(), F.struct(F.lit(b).alias("bank"), v.alias("at")))) for a, b in zip(at, x.BANKS, strict=True)], F.struct(F.lit("Scheduled Commercial Bank").alias("bank"), F.lit(None).cast("int").alias("at")))
+        found["bank_name"] = [once(first_bank, lambda v: _item(v["bank"], v["bank"], v["at"], BANK_CONFIDENCE))]
     if kind == "PROPERTY_DEED":
         kept = [F.nullif(_trim(F.regexp_replace(a["value"], ADDRESS_ENDS, "")), F.lit("")) for a in found["property_address"]]
         found["property_address"] = [_item(v, v, a["start"], RULES[kind][2][1]) for a, v in zip(found["property_address"], kept, strict=True)]
@@ -147,12 +159,17 @@ def pays_salary(lines: Column) -> Column:
     said = F.filter(F.transform(lines, _trim), lambda v: v != "")
     amount = lambda v: F.regexp_replace(v, ",", "").try_cast("double")
     all_ = lambda v: F.transform(F.regexp_extract_all(v, F.lit(x.AMOUNT), F.lit(1)), amount)
-    up = lambda v, words: reduce(lambda a, b: a | b, (F.contains(F.upper(v), F.lit(w)) for w in words))
-    in_line = F.exists(said, lambda v: up(v, x.SALARY) & F.exists(all_(v), lambda a: a > 0))
-    firsts = F.transform(said, lambda v, i: F.struct(i.alias("i"), F.coalesce(F.get(all_(v), F.lit(0)) > 0, F.lit(False)).alias("pays"), up(v, x.SALARY_LINE).alias("named")))
-    named = F.filter(firsts, lambda v: v["named"])
-    paying = F.filter(firsts, lambda v: v["pays"])
-    return in_line | F.exists(named, lambda n: F.exists(paying, lambda p: (p["i"] >= n["i"]) & (p["i"] <= n["i"] + 5)))
+    up = lambda v, words: reduce(lambda a, b: a | b, (F.contains(v, F.lit(w)) for w in words))
+    # only lines of which one says salary, and the five after them, need their amounts
+    read = lambda v, i: F.struct(i.alias("i"), v.alias("said"), F.upper(v).alias("up"))
+    paid = lambda v: F.coalesce(F.get(all_(v["said"]), F.lit(0)) > 0, F.lit(False))
+
+    def pays(lines):
+        in_line = F.exists(lines, lambda v: up(v["up"], x.SALARY) & F.exists(all_(v["said"]), lambda a: a > 0))
+        named = F.filter(lines, lambda v: up(v["up"], x.SALARY_LINE))
+        return in_line | F.exists(named, lambda n: F.exists(F.slice(lines, n["i"] + 1, F.lit(6)), paid))
+
+    return once(F.transform(said, read), pays)
 
 
 def extracted(docs: DataFrame, kind: str, *keys: str, text: str = "text") -> DataFrame:
@@ -190,7 +207,7 @@ def extracted(docs: DataFrame, kind: str, *keys: str, text: str = "text") -> Dat
         columns["is_valid"] = usable & (F.abs(c("gross_salary") - c("total_deductions") - c("net_salary")) <= 1.0)
     if kind == "BANK_STATEMENT":
         columns["bounce_count"] = bounces(t, c("_lines"))
-        money = pays_salary(c("_lines")) | (c("average_balance") > 0) | (c("closing_balance") > 0)
+        money = (c("average_balance") > 0) | (c("closing_balance") > 0) | pays_salary(c("_lines"))
         columns["is_valid"] = columns["account_number"].isNotNull() & columns["ifsc_code"].isNotNull() & money
     if kind == "PROPERTY_DEED":
         parts = F.filter(F.transform(F.split(columns["property_address"], ","), _trim), lambda v: v != "")
